@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept for each worker; beyond it the store starts anew, which costs time and changes no result.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 #: Text handled at once by a worker.
 BLOCK_BYTES = 12 << 20
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idfiles, pieces, quality_rules, url_rules
+from . import html_text, idfiles, pieces, quality_rules, url_rules
 
-_MODULES = (pieces, idfiles, quality_rules, url_rules)
+_MODULES = (pieces, html_text, idfiles, quality_rules, url_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

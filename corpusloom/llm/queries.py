@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, idfiles, pieces, quality_rules, topk, url_rules
+from . import html_text, idfiles, pieces, quality_rules, simhash, topk, url_rules
 
-_MODULES = (pieces, html_text, idfiles, quality_rules, topk, url_rules)
+_MODULES = (pieces, html_text, idfiles, quality_rules, simhash, topk, url_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

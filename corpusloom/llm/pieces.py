@@ -138,6 +138,7 @@ class PieceModel:
         # user-defined symbols pass the normaliser untouched
         self.own = sorted((t.encode() for i, t in enumerate(texts) if self._user_defined(proto, i)), key=len, reverse=True)
         self.widths = np.array([1 if lib.is_byte(i) else len(t.encode()) for i, t in enumerate(texts)], np.int64)
+        self.opens = np.array([t.startswith(MARK) for t in texts])
         self.unknown = lib.unk_id()
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", t) for t in texts)

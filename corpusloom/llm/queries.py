@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, idfiles, line_dedup, packing, pieces, quality_rules, simhash, topk, url_rules
+from . import html_text, idfiles, line_dedup, lm, packing, pieces, quality_rules, simhash, topk, url_rules
 
-_MODULES = (packing, pieces, line_dedup, html_text, idfiles, quality_rules, simhash, topk, url_rules)
+_MODULES = (packing, pieces, lm, line_dedup, html_text, idfiles, quality_rules, simhash, topk, url_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,11 +66,16 @@ class WordStore:
 
     def encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts given as lists of words, one after another, and where each text ends among them."""
+        ids, ends, _ = self.encode_words(lists)
+        return ids, ends
+
+    def encode_words(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As encode, and the number of ids of each word."""
         starts, sizes, _, last = self._coded(lists)
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         at = np.repeat(starts - ends[:-1], sizes)
         at += np.arange(ends[-1])
-        return self.pool[at], ends[last]
+        return self.pool[at], ends[last], sizes
 
     def counts(self, lists: pa.ListArray) -> np.ndarray:
         """Number of ids of each text."""

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from . import counting, linking, texts
+
+_MODULES = (counting, texts, linking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

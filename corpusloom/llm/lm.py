@@ -46,6 +46,8 @@ ROUNDS = 3
 #: Windows for each copy, and the attention model's own share of a word's probability.
 COPY_WINDOWS = 4096
 SHARE = 0.3
+#: Text that a worker scores at once, which bounds its memory.
+SCORED_BYTES = 4 << 20
 
 
 # -- model ---------------------------------------------------------------------------------------------------------
@@ -156,7 +158,7 @@ class Adam:
             self.w[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
 
-def score_ids(w: dict[str, np.ndarray], start: np.ndarray, classes: np.ndarray, ends: np.ndarray, at_once: int = 256) -> np.ndarray:
+def score_ids(w: dict[str, np.ndarray], start: np.ndarray, classes: np.ndarray, ends: np.ndarray, at_once: int = 64) -> np.ndarray:
     """Natural log probability of each class given those before it; ends: where each text ends."""
     sizes = np.diff(ends, prepend=0)
     windows = -(-sizes // STRIDE)
@@ -169,6 +171,9 @@ def score_ids(w: dict[str, np.ndarray], start: np.ndarray, classes: np.ndarray,
     places = {t: w["P"] @ w[t] for t in "QKV"}
     out = np.zeros(len(classes))
     span, mask = np.arange(-STRIDE, STRIDE), CAUSAL[STRIDE:]
+    # what is as large as tokens by classes is written into the same memory again and again
+    z, prior = (np.empty((at_once * STRIDE, CLASSES), np.float32) for _ in range(2))
+    ones = np.ones(CLASSES, np.float32)
     for at in range(0, n, at_once):
         t, o = text[at : at + at_once], offset[at : at + at_once]
         pos = o[:, None] + span[None, :]  # of the id to be scored
@@ -185,12 +190,14 @@ def score_ids(w: dict[str, np.ndarray], start: np.ndarray, classes: np.ndarray,
         mixed = (s @ v) / s.sum(-1, keepdims=True)
         h = w["E"][mine] + w["P"][STRIDE:] + mixed @ w["O"]
         ok = inside[:, STRIDE:]
-        z = h[ok] @ w["U"]
-        z += start[mine[ok]]
         spot = where[:, STRIDE:][ok]
-        won = z[np.arange(len(z)), classes[spot]].astype(np.float64)
-        np.exp(z, out=z)  # logits stay small: they are log probabilities and a bounded correction
-        out[spot] = won - np.log(z.sum(1))
+        m = len(spot)
+        np.matmul(h[ok], w["U"], out=z[:m])
+        np.take(start, mine[ok], axis=0, out=prior[:m], mode="clip")
+        z[:m] += prior[:m]
+        won = z[np.arange(m), classes[spot]].astype(np.float64)
+        np.exp(z[:m], out=z[:m])  # logits stay small: they are log probabilities and a bounded correction
+        out[spot] = won - np.log(z[:m] @ ones)
     return out
 
 
@@ -426,7 +433,7 @@ def score_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id
         close = pc.index_in(pa.array([""]), value_set=listed)[0].as_py()
         close = -1 if close is None else close
         for whole in batches:
-            for b in blocks(whole, 1):
+            for b in blocks(whole, 1, SCORED_BYTES):
                 rows = b.num_rows
                 lists = split_words(b.column(1))
                 offsets = lists.offsets.to_numpy().astype(np.int64)

@@ -29,7 +29,7 @@ FANOUT = 16
 #: A bucket over so many rows is dealt out again.
 BUCKET_ROWS = 4096
 #: Places of (query, node) pairs that are looked at together.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 16
 
 
 def fingerprint(text: str, words: int = 3) -> int:

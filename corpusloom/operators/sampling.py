@@ -66,10 +66,11 @@ def boundary_quotas(have: dict[str, int], base: dict[str, int], target: int) ->
     """How many to take of each pool: its quota, then what is lacking from the pool with most left (ties by name)."""
     take = {p: min(q, have.get(p, 0)) for p, q in base.items()}
     while (lacking := target - sum(take.values())) > 0:
-        left, pool = max(((have.get(p, 0) - take[p]), p) for p in sorted(base, reverse=True))
-        if left <= 0:
+        spare = {p: have.get(p, 0) - take[p] for p in base}
+        pool = min(spare, key=lambda p: (-spare[p], p))
+        if spare[pool] <= 0:
             raise ValueError("the pools hold too few records")
-        take[pool] += min(left, lacking)
+        take[pool] += min(spare[pool], lacking)
     return take
 
 

@@ -98,10 +98,13 @@ def conditional_fields(condition: Column, required: Sequence[str], blank: Sequen
 
 def extraction_rules(labels: dict[str, Sequence[str]], rationale: str, url: str, placeholders: Sequence[str] = ("tbd", "n/a", "todo", "unknown")) -> dict[str, Column]:
     """Faults of an extraction row: label arrays in another than the agreed order, unknown or repeated labels, placeholders, short rationales, bad addresses."""
+    def in_order(c: str, allowed: Sequence[str]) -> Column:
+        order = F.array(*(F.lit(x) for x in allowed))
+        return F.transform(F.col(c), lambda x: F.array_position(order, x))
+
     rules: dict[str, Column] = {}
     for c, allowed in labels.items():
-        order = F.array(*(F.lit(x) for x in allowed))
-        places = F.transform(F.col(c), lambda x, o=order: F.array_position(o, x))
+        places = in_order(c, allowed)
         rules[f"{c}: unknown label"] = F.exists(places, lambda p: p == 0)
         rules[f"{c}: repeated label"] = F.size(F.array_distinct(c)) < F.size(c)
         rules[f"{c}: order"] = F.array_sort(places) != places

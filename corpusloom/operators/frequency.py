@@ -131,3 +131,22 @@ def flow(stages: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def grouped_labels(counts: DataFrame, key: str, count: str, groups: dict[str, tuple[Sequence[str], Sequence[str]]], rest: str, top: int) -> DataFrame:
+    """counts with group, place in the group, and whether a figure shows the label.
+
+    groups: name to fixed keys and to pieces of text that a key may hold; the first that fits wins, other keys are in
+    ``rest``. A figure shows the labels of the named groups and the ``top`` most frequent of the rest (ties by key).
+    """
+    group = F.coalesce(*(F.when(F.col(key).isin(*fixed) | F.greatest(F.lit(False), *(F.col(key).contains(x) for x in pieces), F.lit(False)), n) for n, (fixed, pieces) in groups.items()), F.lit(rest))
+    placed = counts.withColumn("group", group).withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.desc(count), key)))
+    return placed.withColumn("shown", (F.col("group") != rest) | (F.col("place") <= top))
+
+
+def named_coverage(df: DataFrame, labels: str, unspecified: Sequence[str]) -> DataFrame:
+    """One row: works with a named label, works without one, and works that hold an unspecified label besides whatever else."""
+    un = F.array(*(F.lit(x) for x in unspecified))
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    named = F.size(F.array_except(F.coalesce(F.col(labels), F.array().cast("array<string>")), un)) > 0
+    return df.agg(n(named).alias("named"), n(~named).alias("not_named"), n(F.coalesce(F.arrays_overlap(labels, un), F.lit(False))).alias("unspecified"), F.count("*").alias("denominator"))

@@ -271,6 +271,21 @@ def one_word_only(spark: SparkSession, d: str) -> DataFrame:
     return Q.only_label(w, "kinds", "word")
 
 
+@query("""
+WITH c AS (SELECT p_brand AS label, count(*)::BIGINT AS count FROM part GROUP BY 1), g AS (SELECT *, CASE WHEN label IN ('Brand#11', 'Brand#12') OR contains(label, '#5') THEN 'first' WHEN label IN ('Brand#31') THEN 'second' ELSE 'other' END AS "group" FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY count DESC, label)::INTEGER AS place FROM g)
+SELECT label, count, "group", place, "group" <> 'other' OR place <= 10 AS shown FROM r""")
+def grouped_labels(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "part").groupBy(F.col("p_brand").alias("label")).agg(F.count("*").alias("count"))
+    return Q.grouped_labels(counts, "label", "count", {"first": (["Brand#11", "Brand#12"], ["#5"]), "second": (["Brand#31"], [])}, "other", 10)
+
+
+@query("""
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part)
+SELECT count(*) FILTER (len(list_filter(l, lambda x: x NOT IN ('red', 'blue'))) > 0)::BIGINT AS named, count(*) FILTER (len(list_filter(l, lambda x: x NOT IN ('red', 'blue'))) = 0)::BIGINT AS not_named, count(*) FILTER (list_has_any(l, ['red', 'blue']))::BIGINT AS unspecified, count(*)::BIGINT AS denominator FROM w""")
+def named_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return Q.named_coverage(_part_words(spark, d), "words", ["red", "blue"])
+
+
 @query("""
 WITH c AS (SELECT o_orderstatus AS category, count(*) AS count FROM orders GROUP BY 1), n AS (SELECT count(*) AS denominator FROM orders)
 SELECT 'Orders' AS section, 'Status' AS measure, category, count::BIGINT AS count, denominator, 100.0 * count / denominator AS percent, 'all orders' AS denominator_definition, 'single' AS response_type FROM c CROSS JOIN n""")

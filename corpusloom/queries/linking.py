@@ -16,7 +16,7 @@ from .base import Registry, table
 
 query = Registry()
 
-_NORMAL = r"trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))"
+_NORMAL = r"trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query("""
@@ -204,9 +204,9 @@ def ranked_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(by_rank(split_list("p_name", " "), ["red", "blue"]), ";").alias("words"))
 
 
-@query(f"SELECT doc_id, {_NORMAL} AS plain FROM documents WHERE lang <> 'de'")
+@query(f"SELECT doc_id, {_NORMAL} AS plain FROM documents")
 def linking_normal_form(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("lang <> 'de'").select("doc_id", linking_text("text").alias("plain"))
+    return table(spark, d, "documents").select("doc_id", linking_text("text").alias("plain"))
 
 
 @query("SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 = 0")

@@ -158,6 +158,15 @@ class Adam:
             self.w[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
 
+def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What depends on a place of the window and the class there alone: keys, values (through O), and queries with the residual."""
+    x = w["E"][None, :, :] + w["P"][:, None, :]
+    scale = np.float32(1 / math.sqrt(DIMS))
+    flat = lambda t: np.ascontiguousarray(t.reshape(-1, t.shape[-1]).astype(np.float32))
+    late = x[STRIDE:]
+    return flat(x @ w["K"]), flat(x @ w["V"] @ w["O"]), flat(np.concatenate([late @ w["Q"] * scale, late], -1))
+
+
 def score_ids(w: dict[str, np.ndarray], start: np.ndarray, classes: np.ndarray, ends: np.ndarray, at_once: int = 64) -> np.ndarray:
     """Natural log probability of each class given those before it; ends: where each text ends."""
     sizes = np.diff(ends, prepend=0)
@@ -166,39 +175,51 @@ def score_ids(w: dict[str, np.ndarray], start: np.ndarray, classes: np.ndarray,
     text = np.repeat(np.arange(len(sizes)), windows)
     offset = (np.arange(n) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
     first = (ends - sizes)[text]
-    scale = np.float32(1 / math.sqrt(DIMS))
-    tables = {t: w["E"] @ w[t] for t in "QKV"}
-    places = {t: w["P"] @ w[t] for t in "QKV"}
-    out = np.zeros(len(classes))
-    span, mask = np.arange(-STRIDE, STRIDE), CAUSAL[STRIDE:]
+    keys, values, asks = _tables(w)
+    # attention weights need no shift as long as no score can leave the range of exp
+    safe = float(np.abs(asks[:, :DIMS]).sum(1).max() * np.abs(keys).max()) < 80
+    place = np.arange(WIDTH) * (CLASSES + 1)
+    late = np.arange(STRIDE) * (CLASSES + 1)
+    seen = (CAUSAL[STRIDE:] == 0).astype(np.float32)
     # what is as large as tokens by classes is written into the same memory again and again
     z, prior = (np.empty((at_once * STRIDE, CLASSES), np.float32) for _ in range(2))
     ones = np.ones(CLASSES, np.float32)
+    # texts with the begin before them, and room at both ends for windows that stick out
+    padded = np.concatenate([np.zeros(WIDTH, classes.dtype), classes, np.zeros(WIDTH, classes.dtype)])
+    out = np.zeros(len(classes) + STRIDE)
+    span = np.arange(WIDTH)
     for at in range(0, n, at_once):
-        t, o = text[at : at + at_once], offset[at : at + at_once]
-        pos = o[:, None] + span[None, :]  # of the id to be scored
-        known = pos >= 0
-        inside = pos < sizes[t][:, None]
-        where = first[at : at + at_once, None] + pos
-        before = np.where(pos > 0, classes[np.clip(where - 1, 0, len(classes) - 1)], CLASSES)
+        o, where = offset[at : at + at_once], first[at : at + at_once] + offset[at : at + at_once]
+        # the input at each place is the class before the one to be scored there
+        before = padded[(where + (WIDTH - STRIDE - 1))[:, None] + span]
+        opens = np.flatnonzero(o == 0)
+        before[opens, STRIDE] = CLASSES
+        before[np.flatnonzero(o == STRIDE), 0] = CLASSES
+        m = len(o)
         mine = before[:, STRIDE:]
-        q = (tables["Q"][mine] + places["Q"][STRIDE:]) * scale
-        k = tables["K"][before] + places["K"]
-        v = tables["V"][before] + places["V"]
-        s = q @ k.transpose(0, 2, 1) + mask + np.where(known, np.float32(0), np.float32(-1e9))[:, None, :]
-        np.exp(s - s.max(-1, keepdims=True), out=s)
-        mixed = (s @ v) / s.sum(-1, keepdims=True)
-        h = w["E"][mine] + w["P"][STRIDE:] + mixed @ w["O"]
-        ok = inside[:, STRIDE:]
-        spot = where[:, STRIDE:][ok]
-        m = len(spot)
-        np.matmul(h[ok], w["U"], out=z[:m])
-        np.take(start, mine[ok], axis=0, out=prior[:m], mode="clip")
-        z[:m] += prior[:m]
-        won = z[np.arange(m), classes[spot]].astype(np.float64)
-        np.exp(z[:m], out=z[:m])  # logits stay small: they are log probabilities and a bounded correction
-        out[spot] = won - np.log(z[:m] @ ones)
-    return out
+        qx = np.take(asks, mine + late, axis=0)
+        spot = before + place
+        s = qx[..., :DIMS] @ np.take(keys, spot, axis=0).transpose(0, 2, 1)
+        if not safe:
+            s -= np.where(seen > 0, s, -np.inf).max(-1, keepdims=True)
+            np.minimum(s, 0, out=s)
+        np.exp(s, out=s)
+        s *= seen
+        s[opens, :, :STRIDE] = 0
+        h = s @ np.take(values, spot, axis=0)
+        h /= s.sum(-1, keepdims=True)
+        h += qx[..., DIMS:]
+        k = m * STRIDE
+        np.matmul(h.reshape(k, DIMS), w["U"], out=z[:k])
+        np.take(start, mine.reshape(-1), axis=0, out=prior[:k], mode="clip")
+        z[:k] += prior[:k]
+        want = padded[(where + WIDTH)[:, None] + span[:STRIDE]].reshape(-1)
+        won = z[np.arange(k), want].astype(np.float64)
+        np.exp(z[:k], out=z[:k])  # logits stay small: they are log probabilities and a bounded correction
+        won -= np.log(z[:k] @ ones)
+        inside = (o[:, None] + span[:STRIDE] < sizes[text[at : at + at_once]][:, None]).reshape(-1)
+        out[(where[:, None] + span[:STRIDE]).reshape(-1)[inside]] = won[inside]
+    return out[: len(classes)]
 
 
 # -- texts ---------------------------------------------------------------------------------------------------------

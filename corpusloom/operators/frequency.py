@@ -136,10 +136,10 @@ def flow(stages: dict[str, DataFrame]) -> DataFrame:
 def grouped_labels(counts: DataFrame, key: str, count: str, groups: dict[str, tuple[Sequence[str], Sequence[str]]], rest: str, top: int) -> DataFrame:
     """counts with group, place in the group, and whether a figure shows the label.
 
-    groups: name to fixed keys and to pieces of text that a key may hold; the first that fits wins, other keys are in
+    groups: name to fixed keys and to pieces of text that a key, with a space before it, may hold; the first that fits wins, other keys are in
     ``rest``. A figure shows the labels of the named groups and the ``top`` most frequent of the rest (ties by key).
     """
-    group = F.coalesce(*(F.when(F.col(key).isin(*fixed) | F.greatest(F.lit(False), *(F.col(key).contains(x) for x in pieces), F.lit(False)), n) for n, (fixed, pieces) in groups.items()), F.lit(rest))
+    group = F.coalesce(*(F.when(F.col(key).isin(*fixed) | F.greatest(F.lit(False), *(F.concat(F.lit(" "), F.col(key)).contains(x) for x in pieces), F.lit(False)), n) for n, (fixed, pieces) in groups.items()), F.lit(rest))
     placed = counts.withColumn("group", group).withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.desc(count), key)))
     return placed.withColumn("shown", (F.col("group") != rest) | (F.col("place") <= top))
 

@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
+#: So many edges are contracted by one task; more take distributed steps.
+TASK_EDGES = 1 << 18
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges (a, b), and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[i], root[j]
+        if (x == y).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not (root[root] == root).all():
+            root = root[root]
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours. edges: (u, v), u > v."""
@@ -25,7 +46,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of some edge reaches. edges: two columns of numbers, any order.
 
-    Steps go on until an edge set repeats, which the sum of hashes of its distinct edges tells; each is written to
+    At most TASK_EDGES different edges are contracted by one task, whose memory that bounds. More take steps on tables: they go on until an edge set repeats, which the sum of hashes of its distinct edges tells; each is written to
     shared storage. Loops and repeated edges do no harm. Nulls aren't linked. The number of steps grows with the
     logarithm of a component's diameter.
     """
@@ -33,6 +54,15 @@ def components(edges: DataFrame) -> DataFrame:
     cur = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(cur)
+    if seen[0] <= TASK_EDGES:
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = list(frames)
+            if parts:
+                whole = pd.concat(parts)
+                yield pd.DataFrame(dict(zip(("node", "root"), contract(whole["u"].to_numpy(), whole["v"].to_numpy()))))
+
+        return cur.coalesce(1).mapInPandas(run, "node long, root long")
     while seen[0]:
         cur = stored(_small_star(stored(_large_star(cur).distinct(), "large")).distinct(), "small")
         now = mark(cur)

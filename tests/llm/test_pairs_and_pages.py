@@ -90,7 +90,11 @@ def test_links_lose_nothing(spark, monkeypatch, most):
     assert [found.get(x, x) for x in fps.view(np.int64).tolist()] == want
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("most", [1 << 18, 0])  # 0: steps on tables
+def test_components_of_paths_and_stars(spark, monkeypatch, most):
+    from corpusloom.llm import components as module
+
+    monkeypatch.setattr(module, "TASK_EDGES", most)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(30)} | {200: 200, 201: 200}

@@ -371,7 +371,7 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url") -> Data
             texts = [main_text(h, list(dict.fromkeys(filter(None, (r1, r2))))) for h, r1, r2 in rows]
             yield pa.RecordBatch.from_arrays([*(b.column(at[n]) for n in names), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "text", "n_chars"])
 
-    return df.join(refs, "__host", "left").select(*(F.col(f"`{c}`") for c in names), "__html", "__r1", "__r2").mapInArrow(run, schema)
+    return df.join(refs.hint("merge"), "__host", "left").select(*(F.col(f"`{c}`") for c in names), "__html", "__r1", "__r2").mapInArrow(run, schema)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,8 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     covered = later.groupBy("id", "hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     covered = stored(covered.select("id", "hash", F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))).alias("covered")), "covered")
     keyed = docs.withColumn("__key", F.xxhash64(text))
-    out = keyed.join(covered, F.col(doc_id).eqNullSafe(covered["id"]) & (keyed["__key"] == covered["hash"]), "left").withColumn("__lines", lines)
+    # a merge join at any size: what is joined carries the texts, and the other side has no size bound
+    out = keyed.join(covered.hint("merge"), F.col(doc_id).eqNullSafe(covered["id"]) & (keyed["__key"] == covered["hash"]), "left").withColumn("__lines", lines)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("covered")), lambda i: F.element_at("__lines", i + 1))
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
     columns[text] = F.when(F.col("covered").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))

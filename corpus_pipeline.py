@@ -31,7 +31,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     near = near_duplicates(docs.select("doc_id", "text"), words=3)
     heads = stored(near.filter("doc_id <=> component_id").select(F.col("doc_id").alias("head")).distinct(), "heads")
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
+    # a merge join at any size, as in line dedup
+    return docs.join(heads.hint("merge"), docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

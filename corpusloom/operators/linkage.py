@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import author_tokens, doi, jaccard, linking_text, title_similarity, title_tokens, year
+from ..functions.text import author_tokens, doi, jaccard, linking_text, title_similarity, year
 from ..sources.sinks import set_id
 
 
@@ -30,7 +30,7 @@ def version_pairs(records: DataFrame, flagged: DataFrame, key: str = "paper_id",
     are alike, an author and a known gap of at most ``gap``. As both title rules need an author, pairs come from equi-joins on an author with the
     title, or on an author with a year; the order of records in a pair is by key.
     """
-    r = records.select(F.col(key).alias("id"), linking_text("title").alias("title"), F.transform(F.split(F.coalesce("authors", F.lit("")), ";"), lambda x: x).alias("names"), year("year").alias("year"), F.col("authors").alias("raw"))
+    r = records.select(F.col(key).alias("id"), linking_text("title").alias("title"), year("year").alias("year"), F.col("authors").alias("raw"))
     folded = r.withColumn("authors", author_tokens(linking_authors("raw"))).select("id", "title", "year", "authors")
     each = folded.select("*", F.explode("authors").alias("author"))
     side = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
@@ -58,7 +58,7 @@ def linking_authors(c: str) -> Column:
 
 
 def linking_marks(c: str) -> Column:
-    # one call of the folding for the whole list: the separator becomes a word that folding keeps
+    # the whole list is folded in one call: the separator becomes a word that folding keeps
     return linking_text(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), ";", " zzsepzz "))
 
 
@@ -135,5 +135,3 @@ def with_sources(works: DataFrame, family_sizes: DataFrame, key: str, extra: Dat
     ranked = F.transform(F.array_sort(F.transform(added, lambda x: F.struct(F.coalesce(F.try_element_at(place, x), F.lit(len(order))).alias("r"), x.alias("x")))), lambda s: s["x"])
     return got.withColumn("found_in_sources", ranked).drop("__e")
 
-
-__all__ = ["edges", "families", "integrate", "ordered_pair", "pair_family_faults", "routed", "same_partition", "shared_dois", "shared_token_pairs", "title_tokens", "version_pairs", "with_sources"]

@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,15 +94,16 @@ def pinned(spark: SparkSession, path: str, df: DataFrame, sha256: str | None = N
 def batch_faults(batches: DataFrame, master: DataFrame, key: str, batch: str, ordinal: str) -> DataFrame:
     """Rows (key, fault): what keeps batches from giving each row of the master once, in its order.
 
-    batches: key, batch number, ordinal in the batch; master: key, ordinal.
+    batches: key, batch number, ordinal in the batch; master: key, ordinal (consecutive numbers).
     """
     placed = batches.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(batch, ordinal)).alias("at"))
     both = master.select(key, F.col(ordinal).alias("master_at")).join(placed, key, "full")
     fault = F.when(F.col("master_at").isNull(), "not in master").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated")
     plain = both.select(key, fault.alias("fault")).filter("fault is not null")
     # each row must follow, in the batches, the one before it in the master
-    ordered = both.filter("master_at is not null and n = 1").withColumn("before", F.lag("at").over(Window.partitionBy(F.floor(F.col("master_at") / 100000)).orderBy("master_at")))
-    return plain.unionByName(ordered.filter("before is not null and before > at").select(key, F.lit("out of order").alias("fault")))
+    once = both.filter("master_at is not null and n = 1")
+    before = once.select((F.col("master_at") + 1).alias("master_at"), F.col("at").alias("before"))
+    return plain.unionByName(once.join(before, "master_at").filter("before > at").select(key, F.lit("out of order").alias("fault")))
 
 
 def xml_records(spark: SparkSession, path: str, tag: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ..sources.collect import ENVELOPE
 
 
 def read_hits(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
-    """Envelopes from JSON lines that are added to a folder; those without a real time are left out of nothing, their time is null."""
+    """Envelopes from JSON lines that are added to a folder; retrieved_at is null for those without a real time."""
     raw = spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_at_once).json(path)
     return raw.withColumn("retrieved_at", utc_time("retrieved_at_utc"))
 

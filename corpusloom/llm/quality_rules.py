@@ -158,7 +158,35 @@ def quality_rules(
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     got = quality_rules(docs)
-    return got.select("doc_id", *BASE, "base_failed", "kept", "class_distance", "word_distance")
-
-
-ORACLE: dict[str, str] = {}
+    return got.select("doc_id", *BASE, "base_failed", "kept")
+
+
+def _sql(docs: str = "documents") -> str:
+    """The same decisions in DuckDB's SQL, for tables with one row for each doc_id."""
+    space, mark = r"[\x20\x09-\x0D]", r"[.,;:!?''\"()\-]+"
+    gone = [("t0", "coalesce(text, '')")] + [(f"t{i}", f"regexp_replace(t{i - 1}, '{p}', '', 'g')") for i, p in enumerate((r"\p{Ll}+", space + "+", r"\p{Lu}+", "[0-9]+", "[#*$%&|<>]+", mark), 1)]
+    steps = ", ".join(f"s{i} AS (SELECT *, {e} AS {n} FROM {docs if i == 0 else f's{i - 1}'})" for i, (n, e) in enumerate(gone))
+    classes = ", ".join([*(f"length(t{i}) - length(t{i + 1})" for i in range(6)), "length(t6)"])
+    names = ", ".join(f"('{c}', '{w}')" for c, ws in COMMON_WORDS.items() for w in ws)
+    part = "CASE WHEN {a} > 0 THEN 0.5 * {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END"
+    js = f"sqrt(greatest(0, sum({part.format(a='p', b='q')} + {part.format(a='q', b='p')})))"
+    return f"""
+WITH {steps},
+f AS (SELECT doc_id, lang, t0 AS t, regexp_extract_all(t0, '[^\\x20\\x09-\\x0D]+') AS w, regexp_extract_all(lower(t0), '\\p{{L}}+') AS l, list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, [{classes}] AS c FROM s6),
+pos AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM f WHERE len(w) >= 3), win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS d FROM pos),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, d) AS k FROM win) WHERE k > 1), cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS p FROM again) GROUP BY 1),
+base AS (SELECT f.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM f LEFT JOIN cov ON f.doc_id = cov.doc_id),
+names(code, word) AS (VALUES {names}), codes AS (SELECT DISTINCT code FROM names),
+tok AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(l) AS word FROM f) WHERE word IN (SELECT word FROM names) GROUP BY 1, 2),
+own AS (SELECT f.doc_id, lang, code, names.word, coalesce(n, 0) AS n, len(l) AS total FROM f CROSS JOIN names LEFT JOIN tok ON tok.doc_id = f.doc_id AND tok.word = names.word),
+hist AS (SELECT doc_id, lang, code, word, n, total FROM own UNION ALL SELECT doc_id, lang, code, '', total - sum(n), total FROM own GROUP BY doc_id, lang, code, total),
+wref AS (SELECT code, word, sum(n)::DOUBLE / greatest(sum(total), 1) AS q FROM hist WHERE lang = code GROUP BY 1, 2),
+wd AS (SELECT doc_id, code, any_value(total) AS total, CASE WHEN any_value(total) >= 50 THEN {js} END AS d FROM (SELECT doc_id, code, total, n::DOUBLE / greatest(total, 1) AS p, q FROM hist JOIN wref USING (code, word)) GROUP BY 1, 2),
+cls AS (SELECT doc_id, lang, unnest(c) AS n, generate_subscripts(c, 1) AS k, list_sum(c) AS total FROM f),
+cref AS (SELECT lang AS code, k, sum(n)::DOUBLE / greatest(sum(total), 1) AS q FROM cls WHERE lang IN (SELECT code FROM codes) GROUP BY 1, 2),
+cd AS (SELECT doc_id, code, CASE WHEN any_value(total) >= 200 THEN {js} END AS d FROM (SELECT doc_id, code, total, n::DOUBLE / greatest(total, 1) AS p, q FROM cls JOIN cref USING (k)) GROUP BY 1, 2),
+best AS (SELECT cd.doc_id, arg_min((coalesce(cd.d, -1) <= 0.28) AND (coalesce(wd.d, -1) <= 0.11 + 1.7 / sqrt(greatest(total, 1))), coalesce(cd.d, 0) + coalesce(wd.d, 0)) AS fits FROM cd JOIN wd USING (doc_id, code) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(fits, true) AS kept FROM base LEFT JOIN best USING (doc_id)"""
+
+
+ORACLE = {"op8_quality_rules": _sql()}

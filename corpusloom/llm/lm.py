@@ -47,7 +47,7 @@ ROUNDS = 3
 COPY_WINDOWS = 4096
 SHARE = 0.3
 #: Text that a worker scores at once, which bounds its memory.
-SCORED_BYTES = 4 << 20
+SCORED_BYTES = 6 << 20
 
 
 # -- model ---------------------------------------------------------------------------------------------------------
@@ -103,8 +103,11 @@ CAUSAL = np.where(np.arange(WIDTH)[None, :] <= np.arange(WIDTH)[:, None], 0.0, -
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
+    """In place, for an array that nothing else needs."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
 def gradients(w: dict[str, np.ndarray], start: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -466,7 +469,10 @@ def score_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id
                 place = np.append(place, close)
                 words = np.diff(offsets) + 1
                 last = np.cumsum(words)
-                ids, ends, sizes = spelled(m, lists)
+                ids, stops, sizes = m.bare.encode_coded(coded.dictionary.to_pylist(), codes[codes < len(place) - 1])
+                # the end id of each text, after its last word
+                stops = np.concatenate([[0], stops])[offsets[1:]]
+                sizes, ids, ends = np.insert(sizes, offsets[1:], 1), np.insert(ids, stops, m.end), stops + np.arange(1, rows + 1)
                 lp = score_ids(t.weights, t.start, t.classes.of_id[ids], ends) + t.classes.share[ids]
                 lp = np.add.reduceat(lp, np.cumsum(sizes) - sizes) / math.log(10)
                 at = place[codes]

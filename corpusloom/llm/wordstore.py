@@ -72,10 +72,21 @@ class WordStore:
     def encode_words(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As encode, and the number of ids of each word."""
         starts, sizes, _, last = self._coded(lists)
+        ids, ends = self._gather(starts, sizes)
+        return ids, ends[last], sizes
+
+    def encode_coded(self, words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words given as places in a list of different words; where each word ends among them; its number of ids."""
+        places = self._places(words)
+        sizes = self.sizes[places][codes]
+        ids, ends = self._gather(self.starts[places][codes], sizes)
+        return ids, ends[1:], sizes
+
+    def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         at = np.repeat(starts - ends[:-1], sizes)
         at += np.arange(ends[-1])
-        return self.pool[at], ends[last], sizes
+        return self.pool[at], ends
 
     def counts(self, lists: pa.ListArray) -> np.ndarray:
         """Number of ids of each text."""

@@ -42,6 +42,13 @@ def local_path(uri: str) -> str:
     return unquote(urlparse(uri).path) if uri.startswith("file:") else uri
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has stored below spark.checkpoint.dir. For the end of a job: results that were not written elsewhere go too."""
+    if root := _ROOTS.pop(spark.sparkContext.applicationId, None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 

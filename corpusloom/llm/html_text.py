@@ -53,22 +53,26 @@ CLOSES = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 P_SCOPE = frozenset("table td th caption button object template html".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+# outside quotes a tag holds no "<", so that a stray one ends the attempt and no page takes quadratic time
+TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: Sibling lists with more cells than this are aligned from both ends only.
 MOST_CELLS = 250_000
+#: Elements nested deeper than this are laid beside each other.
+MOST_DEPTH = 150
 
 
 class Node:
     """An element, or a text (tag "")."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "text", "mark", "key", "size")
+    __slots__ = ("tag", "attrs", "children", "parent", "text", "mark", "key", "size", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = "", text: str = ""):
         self.tag, self.parent, self.attrs, self.text = tag, parent, attrs, text
         self.children: list[Node] = []
         self.mark = 0
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.key = tag
         self.size = 1
 
@@ -125,7 +129,8 @@ def parse(source: str) -> Node:
             node.children.append(Node("", node, text=source[at : end.start() if end else n]))
             at = end.end() if end else n
             continue
-        if not (m[3] or "").endswith("/") or tag in BLOCK or tag not in ("path", "use", "circle", "rect", "line"):
+        closed = (m[3] or "").endswith("/") and tag in ("path", "use", "circle", "rect", "line")
+        if not closed and node.depth < MOST_DEPTH:
             here = node
     return root
 

@@ -191,6 +191,13 @@ def test_odd_pages(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_hostile_pages():
+    assert html_text.main_text("<div>" * 5000 + "x" + "</div>" * 5000 + "y", []).split("\n")[0] == "x"
+    assert html_text.main_text("<a" * 100000, []) != ""
+    assert html_text.main_text('<p title="a > b">t</p><p>5 < 6 and 7 > 3</p>', []) == "t\n5 < 6 and 7 > 3"
+    html_text.main_text("</" * 50000 + "<script>" * 3000, ["<b>" * 3000])
+
+
 def slow_match(a, b):
     """Simple tree matching as it is defined."""
     if a[0] != b[0]:

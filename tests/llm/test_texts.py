@@ -102,6 +102,17 @@ def test_files_round_trip(docs):
     assert got.doc_ids == [d for d, _ in docs] and got.sizes.tolist() == [len(x) for _, x in docs] and got.ids.tolist() == ids.tolist()
 
 
+def test_stored_tables_and_release(spark, odd):
+    from corpusloom.llm import common
+
+    df = common.stored(odd, "t")
+    assert df.count() == len(ROWS)
+    common.release(spark)
+    with pytest.raises(Exception):
+        df.count()
+    assert common.stored(odd, "t").count() == len(ROWS)
+
+
 def test_a_broken_file_is_refused():
     f = bytearray(idfiles.encode_file([1], np.array([2]), np.array([5, 6], np.uint32)))
     f[-1] ^= 1

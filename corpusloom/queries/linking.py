@@ -38,8 +38,8 @@ _SETS = r"""WITH words AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(
 c AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS k FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2), pairs AS (SELECT l, r, k / (x.n + y.n - k)::DOUBLE AS similarity FROM c JOIN n x ON l = x.doc_id JOIN n y ON r = y.doc_id WHERE k / (x.n + y.n - k)::DOUBLE >= 0.8)"""
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("n_chars between 200 and 2000")
+def _near(spark: SparkSession, d: str, rows: str = "n_chars between 200 and 2000") -> DataFrame:
+    docs = table(spark, d, "documents").filter(rows)
     return L.shared_token_pairs(docs, "doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""), 0.8)
 
 
@@ -53,6 +53,17 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return N.connected(_near(spark, d).select("left", "right"))
 
 
+@query()
+def near_dup_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """near_dup_pairs over documents of any length; its SQL joins all pairs and is for the middle lengths only."""
+    return _near(spark, d, "true").withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def components_all(spark: SparkSession, d: str) -> DataFrame:
+    return N.connected(_near(spark, d, "true").select("left", "right"))
+
+
 @query()
 def version_candidates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(

@@ -226,3 +226,19 @@ def test_near_sets_against_all_pairs(spark):
     df = spark.createDataFrame(list(sets.items()), "id long, t array<string>")
     got = {(r["left"], r["right"]) for r in L.shared_token_pairs(df, "id", F.col("t"), 0.8).collect()}
     assert got == {(i, j) for i, j in itertools.combinations(sets, 2) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.8}
+
+
+def test_near_documents_of_any_length(spark, tmp_path):
+    import re
+
+    from corpusloom.queries import queries
+
+    long = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    texts = ["one two three four five", "five four three two one!", " ".join(long), " ".join(long[:450]), " ".join(long[:200]), "some other words", "", None]
+    texts += [" ".join(long[k : k + 60]) for k in (0, 3, 40, 43)]
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: set(re.split("[^a-z]+", t.lower())) - {""} for i, t in enumerate(texts) if t}
+    want = {(i, j) for i, j in itertools.combinations(sets, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert {(0, 1), (2, 3), (8, 9)} <= want
+    assert {(r["left"], r["right"]) for r in queries()["near_dup_pairs_all"](spark, str(tmp_path)).collect()} == want
+    assert {r["node"]: r["component"] for r in queries()["components_all"](spark, str(tmp_path)).collect()} == {x: min(p) for p in want for x in p}

@@ -5,7 +5,8 @@ set of node pairs that keeps tags, parents and the order of siblings. A node who
 partner is template; nodes that differ, or have no partner, are slots. The page's content is what stands in the slots
 of the region that holds most of the varying text. Elements whose tag, role or name says that they are menus, adverts,
 forms or the like are template on any page, and an element that is marked as the article is a slot as a whole: a
-sentence that two articles share stays.
+sentence that two articles share stays. Two pages can't stand for all layouts of a host, so blocks are also counted over
+all its pages: one that many different pages have in the same place is template, within a marked article too.
 """
 
 from __future__ import annotations
@@ -61,12 +62,14 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 MOST_CELLS = 250_000
 #: Elements nested deeper than this are laid beside each other.
 MOST_DEPTH = 150
+#: A block is template if at least so many different pages of its host have it, being this share of the pages with its place.
+LEAST_PAGES, SHARE = 8, 0.5
 
 
 class Node:
     """An element, or a text (tag "")."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "text", "mark", "key", "size", "depth")
+    __slots__ = ("tag", "attrs", "children", "parent", "text", "mark", "key", "size", "depth", "fixed")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = "", text: str = ""):
         self.tag, self.parent, self.attrs, self.text = tag, parent, attrs, text
@@ -75,6 +78,7 @@ class Node:
         self.depth = parent.depth + 1 if parent is not None else 0
         self.key = tag
         self.size = 1
+        self.fixed = False
 
     def named(self) -> dict[str, str]:
         return {k.lower(): _html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(self.attrs)} if self.attrs.strip() else {}
@@ -254,19 +258,70 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int
     return total
 
 
-def induce(page: Node, references: list[Node]) -> None:
-    """Marks nodes whose own text equals their partner's in every reference: mark = number of references that agree."""
-    for r in references:
-        pairs: list[tuple[Node, Node]] = []
-        match(page, r, pairs)
-        for x, y in pairs:
-            if x.text and x.text == y.text:
-                x.mark += 1
+def agreeing(page: Node, reference: Node) -> list[Node]:
+    """Nodes whose own text equals their partner's."""
+    pairs: list[tuple[Node, Node]] = []
+    match(page, reference, pairs)
+    return [x for x, y in pairs if x.text and x.text == y.text]
+
+
+def induce(page: Node, references: list[Node], pages: int | None = None) -> int:
+    """Marks nodes by the number of references that agree; gives how many references there are."""
+    found = [agreeing(page, r) for r in references]
+    for nodes in found:
+        for x in nodes:
+            x.mark += 1
+    return len(found)
+
+
+def key_of(*parts: str) -> int:
+    """Signed 64 bits of a hash."""
+    import xxhash
+
+    n = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace"), 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def place(node: Node) -> str:
+    """Tags and classes from the root to a node's block."""
+    while node.parent is not None and node.tag not in BLOCK:
+        node = node.parent
+    keys = []
+    while node is not None:
+        keys.append(node.key)
+        node = node.parent
+    return "/".join(reversed(keys))
+
+
+def page_blocks(source: str) -> set[tuple[int, int]]:
+    """Keys (place, block) of the different blocks of a page; block is 0 for the place itself, and both for the page."""
+    out = {(0, 0)}
+    for n, whole, _ in blocks_of(tree(source), 0):
+        at = place(n)
+        out |= {(key_of(at), 0), (key_of(at), key_of(at, whole))}
+    return out
+
+
+def fix(page: Node, template: frozenset[int]) -> None:
+    """Marks elements all of whose own blocks are template, with the inline ones in them."""
+    held: dict[Node, bool] = {}
+    for n, whole, _ in blocks_of(page, 0):
+        held[n] = held.get(n, True) and key_of(place(n), whole) in template
+
+    def mark(n: Node) -> None:
+        n.fixed = True
+        for c in n.children:
+            if c.tag and c.tag not in BLOCK:
+                mark(c)
+
+    for n, fixed in held.items():
+        if fixed:
+            mark(n)
 
 
 def varying(node: Node, needed: int) -> int:
     """Length of the text below a node that isn't template."""
-    own = 0 if needed and node.mark >= needed else len(node.text)
+    own = 0 if node.fixed or needed and node.mark >= needed else len(node.text)
     return own + sum(varying(c, needed) for c in node.children if c.tag)
 
 
@@ -284,7 +339,7 @@ def regions(page: Node, needed: int) -> list[Node]:
                     seek(c)
 
     seek(page)
-    found = [f for f in found if varying(f, 0)]
+    found = [f for f in found if blocks_of(f, 0)]
     if found:
         return found
     here, whole = page, varying(page, needed)
@@ -307,33 +362,32 @@ def articles_below(node: Node) -> list[Node]:
     return out
 
 
-def block_texts(node: Node, needed: int) -> list[str]:
-    """Texts of blocks in page order; template nodes are left out if ``needed`` references agree on them."""
-    out: list[str] = []
-    parts: list[str] = []
+def blocks_of(node: Node, needed: int) -> list[tuple[Node, str, str]]:
+    """Blocks in page order: element, text, and text without template nodes (on which ``needed`` references agree)."""
+    out: list[tuple[Node, str, str]] = []
+    parts: list[tuple[str, bool]] = []
 
-    def flush() -> None:
-        text = " ".join("".join(parts).split())
+    def flush(n: Node) -> None:
+        whole = " ".join("".join(t for t, _ in parts).split())
+        if whole:
+            out.append((n, whole, " ".join("".join(t for t, slot in parts if slot).split())))
         parts.clear()
-        if text:
-            out.append(text)
 
-    def walk(n: Node) -> None:
+    def walk(n: Node, block: Node) -> None:
         for c in n.children:
             if not c.tag:
-                if not (needed and n.mark >= needed):
-                    parts.append(c.text)
+                parts.append((c.text, not (needed and n.mark >= needed)))
             elif c.tag == "br":
-                parts.append(" ")
+                parts.append((" ", True))
             elif c.tag in BLOCK:
-                flush()
-                walk(c)
-                flush()
+                flush(block)
+                walk(c, c)
+                flush(c)
             else:
-                walk(c)
+                walk(c, block)
 
-    walk(node)
-    flush()
+    walk(node, node)
+    flush(node)
     return out
 
 
@@ -342,15 +396,42 @@ def _reference(source: str) -> Node:
     return tree(source)
 
 
-def main_text(source: str, references: list[str]) -> str:
-    """Main text of one page; references: other pages of its host."""
+def main_text(source: str, references: list[str], template: frozenset[int] = frozenset(), pages: int | None = None) -> str:
+    """Main text of one page; references: other pages of its host; template: keys of blocks that many of its pages have.
+
+    Where nothing is left without those blocks, they stay: pages of one article are copies, not a layout.
+    """
     page = tree(source)
-    others = [_reference(r) for r in references if r and r != source]
-    if others:
-        induce(page, others)
-    marked = regions(page, len(others))
+    needed = induce(page, [_reference(r) for r in references if r and r != source], pages)
+    if template:
+        fix(page, template)
+    marked = regions(page, needed)
     semantic = any(is_article(r) for r in marked)
-    return "\n".join(t for r in marked for t in block_texts(r, 0 if semantic else len(others)))
+    found = [(n, whole, t) for r in marked for n, whole, t in blocks_of(r, 0 if semantic else needed) if t]
+    return "\n".join([t for n, whole, t in found if not template or key_of(place(n), whole) not in template] or [t for _, _, t in found])
+
+
+def host_templates(keyed: DataFrame) -> DataFrame:
+    """(k, pages, template): for each host key the number of its different pages and the keys of its template blocks.
+
+    keyed: k, h (hash of the page), __html. A page counts once for each of its blocks, and copies of it don't
+    count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, h, p, u = [], [], [], []
+            for host, page, source in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for x, y in page_blocks(source):
+                    k.append(host), h.append(page), p.append(x), u.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k, p, u, h)], names=["k", "p", "u", "h"])
+
+    each = keyed.select("k", "h", "__html").mapInArrow(run, "k long, p long, u long, h long").distinct()
+    counts = stored(each.groupBy("k", "p", "u").agg(F.count("*").alias("n")).filter((F.col("n") >= LEAST_PAGES) | (F.col("p") == 0)), "blocks")
+    places = counts.filter("u = 0").select("k", "p", F.col("n").alias("m"))
+    found = counts.filter("u <> 0").join(places, ["k", "p"]).filter(F.col("n") >= SHARE * F.col("m"))
+    hosts = counts.filter("p = 0 and u = 0").select("k", F.col("n").alias("pages"))
+    return hosts.join(found.groupBy("k").agg(F.collect_list("u").alias("template")), "k", "left")
 
 
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -358,25 +439,27 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url") -> Data
 
     The references of a host are its pages with the smallest and the largest hash, found by a partial aggregate; every
     page is joined with them by host, in a join that may split a frequent host. A page isn't its own reference, nor is a
-    copy of it. A null or empty html gives an empty text; pages without a host share the empty one. Whole pages are
+    copy of it. Blocks are counted over all pages of a host by partial aggregates. A null or empty html gives an empty text; pages without a host share the empty one. Whole pages are
     read, repeated rows stay, columns named text or n_chars are replaced, and an empty table gives an empty table.
     """
     rest = dropped(pages, "text", "n_chars", html)
     after = F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     df = pages.select(*(F.col(f"`{c}`") for c in rest.columns), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("__html"), F.translate(after, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("__host"))
     keyed = df.select("__host", "__html", F.xxhash64("__html").alias("h")).filter("__html <> ''")
-    refs = stored(keyed.groupBy("__host").agg(F.min_by("__html", "h").alias("__r1"), F.max_by("__html", "h").alias("__r2")), "wrappers")
+    two = keyed.groupBy("__host").agg(F.min_by("__html", "h").alias("__r1"), F.max_by("__html", "h").alias("__r2")).withColumn("k", F.xxhash64("__host"))
+    counted = host_templates(keyed.withColumn("k", F.xxhash64("__host")))
+    refs = stored(two.join(counted, "k").select("__host", "__r1", "__r2", F.col("template").alias("__template"), F.col("pages").alias("__pages")), "wrappers")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "text string, n_chars long"])
     names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {n: i for i, n in enumerate(b.schema.names)}
-            rows = zip(*(b.column(at[n]).to_pylist() for n in ("__html", "__r1", "__r2")))
-            texts = [main_text(h, list(dict.fromkeys(filter(None, (r1, r2))))) for h, r1, r2 in rows]
+            rows = zip(*(b.column(at[n]).to_pylist() for n in ("__html", "__r1", "__r2", "__template", "__pages")))
+            texts = [main_text(h, list(dict.fromkeys(filter(None, (r1, r2)))), frozenset(t or ()), n) for h, r1, r2, t, n in rows]
             yield pa.RecordBatch.from_arrays([*(b.column(at[n]) for n in names), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "text", "n_chars"])
 
-    return df.join(refs, "__host", "left").select(*(F.col(f"`{c}`") for c in names), "__html", "__r1", "__r2").mapInArrow(run, schema)
+    return df.join(refs, "__host", "left").select(*(F.col(f"`{c}`") for c in names), "__html", "__r1", "__r2", "__template", "__pages").mapInArrow(run, schema)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

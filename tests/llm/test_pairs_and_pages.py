@@ -183,6 +183,25 @@ def test_induced_wrapper_keeps_what_varies(spark):
     assert [r["text"] for r in got] == [want(i) for i in range(5)] and [r["n_chars"] for r in got] == [len(want(i)) for i in range(5)]
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+
+
+def test_blocks_of_a_host_within_marked_articles(spark):
+    box = "<div class=bio><p>Written by the same team</p></div>"
+    rows = [(i, f"http://h/{i}", f"<article><h2>News {i}</h2><p>Text {i} of it</p><p>{'a shared line' if i % 5 == 0 else i}</p>{box}</article>") for i in range(20)]
+    # few pages tell nothing, nor do copies of one page
+    rows += [(100 + i, f"http://few/{i}", f"<article><p>Text {i}</p>{box}</article>") for i in range(5)]
+    rows += [(200 + i, f"http://copies/{i}", "<article><p>One text</p></article>") for i in range(12)]
+    # different pages around one article
+    rows += [(300 + i, f"http://same/{i}", f"<p>{i}</p><article><p>One text</p></article>") for i in range(12)]
+    got = extracted(spark, rows)
+    assert [got[i] for i in range(20)] == [f"News {i}\nText {i} of it\n{'a shared line' if i % 5 == 0 else i}" for i in range(20)]
+    assert [got[100 + i] for i in range(5)] == [f"Text {i}\nWritten by the same team" for i in range(5)]
+    assert {got[200 + i] for i in range(12)} | {got[300 + i] for i in range(12)} == {"One text"}
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "x", "plain text"), (4, "http://a/", "<p>a<p>b"), (4, "http://a/", "<p>a<p>b"), (5, "http://a/", "<!-- <p>x</p> --><script>p</script>"), (6, "http://a/", "</p></div><p>" + "w " * 50000 + "<"), (7, "http://b/", "<article><p>&lt;b&gt; &#65;&eacute;</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -64,6 +64,8 @@ MOST_CELLS = 250_000
 MOST_DEPTH = 150
 #: A block is template if at least so many different pages of its host have it, being this share of the pages with its place.
 LEAST_PAGES, SHARE = 8, 0.5
+#: On a host of two pages, one that agrees with the other in more than this share of its text is a near copy.
+NEAR_COPY = 0.8
 
 
 class Node:
@@ -266,8 +268,13 @@ def agreeing(page: Node, reference: Node) -> list[Node]:
 
 
 def induce(page: Node, references: list[Node], pages: int | None = None) -> int:
-    """Marks nodes by the number of references that agree; gives how many references there are."""
+    """Marks nodes by the number of references that agree; gives how many references there are.
+
+    The other page of a host of two isn't one if it is a near copy, which tells text from template no better than a copy.
+    """
     found = [agreeing(page, r) for r in references]
+    if pages == 2 and len(found) == 1 and sum(len(x.text) for x in found[0]) > NEAR_COPY * varying(page, 0):
+        return 0
     for nodes in found:
         for x in nodes:
             x.mark += 1

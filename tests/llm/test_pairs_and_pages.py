@@ -202,6 +202,16 @@ def test_blocks_of_a_host_within_marked_articles(spark):
     assert {got[200 + i] for i in range(12)} | {got[300 + i] for i in range(12)} == {"One text"}
 
 
+def test_layouts_of_one_host_and_near_copies(spark):
+    page = lambda i, k: f"<div class=l{k}><div class=box{k}><p>Fixed words of layout {k}</p></div><div class=body{k}><p>First {i} of the text</p><p>Second {i}</p></div></div>"
+    rows = [(i, f"http://h/{i}", page(i, i % 3)) for i in range(36)]
+    long = "<p>A long first paragraph that both have</p><p>Another long paragraph that both have</p>"
+    rows += [(100 + i, f"http://two/{i}", f"<div>{long}<p>End {i}</p></div>") for i in range(2)]
+    got = extracted(spark, rows)
+    assert [got[i] for i in range(36)] == [f"First {i} of the text\nSecond {i}" for i in range(36)]
+    assert [got[100 + i] for i in range(2)] == [f"A long first paragraph that both have\nAnother long paragraph that both have\nEnd {i}" for i in range(2)]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "x", "plain text"), (4, "http://a/", "<p>a<p>b"), (4, "http://a/", "<p>a<p>b"), (5, "http://a/", "<!-- <p>x</p> --><script>p</script>"), (6, "http://a/", "</p></div><p>" + "w " * 50000 + "<"), (7, "http://b/", "<article><p>&lt;b&gt; &#65;&eacute;</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -128,3 +128,20 @@ def paired_bootstrap(cells: np.ndarray, k: int, replicates: int = 10_000, seed:
         got, undefined = _interval(tables, undefined)
         values.append(got)
     return percentile_interval(np.concatenate(values), undefined, replicates)
+
+
+def paired_table_bootstrap(matrix: np.ndarray, replicates: int = 10_000, seed: int = 2026081306, at_once: int = 5_000_000) -> tuple[float, float] | None:
+    """paired_bootstrap of the records that a table counts, laid out cell by cell, with at most ``at_once`` drawn at a time."""
+    rng, k, n = np.random.default_rng(seed), len(matrix), int(matrix.sum())
+    ends = np.cumsum(matrix.reshape(-1))
+    some = max(1, min(100, at_once // n))
+    values, undefined = [], 0
+    for at in range(0, replicates, some):
+        m = min(some, replicates - at)
+        tables = np.zeros((m, k * k), np.int64)
+        for done in range(0, n, at_once):
+            cells = np.searchsorted(ends, rng.integers(0, n, size=(m, min(at_once, n - done))), "right")
+            tables += np.bincount((cells + np.arange(m)[:, None] * (k * k)).reshape(-1), minlength=m * k * k).reshape(m, -1)
+        got, undefined = _interval(tables.reshape(m, k, k), undefined)
+        values.append(got)
+    return percentile_interval(np.concatenate(values), undefined, replicates)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import exact_interval, kappa, multinomial_bootstrap, paired_bootstrap, share, wilson
+from ..functions.numbers import exact_interval, kappa, multinomial_bootstrap, paired_table_bootstrap, share, wilson
 
 CLASSES = (
     "BOTH_UNCERTAIN_SAME_CODE", "BOTH_UNCERTAIN_DIFFERENT_CODE", "ONE_UNCERTAIN", "DIRECT_INCLUDE_EXCLUDE_DISAGREEMENT",
@@ -61,16 +61,15 @@ def matrix(df: DataFrame, left: str, right: str, labels: Sequence[str]) -> np.nd
 def kappa_interval(df: DataFrame, left: str, right: str, labels: Sequence[str], paired: bool = True, replicates: int = 10_000, seed: int = 2026081306) -> DataFrame:
     """One row (n, raw_agreement, kappa, lower, upper, replicates, seed, unit) with a percentile bootstrap interval.
 
-    paired draws records, for which only the number of records in each cell matters: they are laid out cell by cell.
-    Otherwise tables are drawn. Null bounds: over 5 % of the replicates had no kappa.
+    paired draws records, for which only the number of records in each cell matters: they are laid out cell by cell, and drawn
+    in chunks at any size. Otherwise tables are drawn. Null bounds: over 5 % of the replicates had no kappa.
     """
     m = matrix(df, left, right, labels)
-    n, k = int(m.sum()), len(labels)
+    n = int(m.sum())
     raw, value = kappa(m) if n else (None, None)
     bounds = None
     if n:
-        cells = np.repeat(np.arange(k * k), m.reshape(-1))
-        bounds = paired_bootstrap(cells, k, replicates, seed) if paired and n <= 1_000_000 else multinomial_bootstrap(m, replicates, seed)
+        bounds = (paired_table_bootstrap if paired else multinomial_bootstrap)(m, replicates, seed)
     lo, hi = bounds or (None, None)
     row = (n, raw, value, lo, hi, replicates, seed, "paired record" if paired else "table cell")
     return df.sparkSession.createDataFrame([row], "n long, raw_agreement double, kappa double, lower double, upper double, replicates int, seed long, unit string")

@@ -205,7 +205,7 @@ def clopper_pearson(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kappa_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return A.kappa_interval(_rated(spark, d), "a", "b", ["INCLUDE", "EXCLUDE"], replicates=2000)
+    return A.kappa_interval(_rated(spark, d), "a", "b", ["INCLUDE", "EXCLUDE"])
 
 
 @query()

@@ -82,3 +82,21 @@ def test_certain_agreement(spark):
     assert A.agreement(df, "x", "y").first()["kappa"] is None
     assert A.agreement(df, "x", "y", certain=True).first()["kappa"] == 1.0
     assert A.agreement(df.limit(0), "x", "y").first()["kappa"] is None
+
+
+def test_paired_bootstrap_in_chunks():
+    m = np.array([[60, 7], [0, 33]])
+    cells = np.repeat(np.arange(4), m.reshape(-1))
+    want = N.paired_bootstrap(cells, 2, 500, 9)
+    assert [N.paired_table_bootstrap(m, 500, 9, k) for k in (10_000, 700, 100, 30)] == [want] * 4
+
+
+def test_paired_records_over_a_million(spark):
+    from corpusloom.operators.agreement import kappa_interval
+
+    m = np.array([[600_001, 70_000], [30_000, 330_000]])
+    df = spark.range(int(m.sum())).selectExpr(f"if(id < {m[0].sum()}, 'a', 'b') as x", f"if(id < {m[0, 0]} or id between {m[0].sum()} and {m[0].sum() + m[1, 0] - 1}, 'a', 'b') as y")
+    r = kappa_interval(df, "x", "y", ["a", "b"], replicates=40).first()
+    want = N.paired_bootstrap(np.repeat(np.arange(4), m.reshape(-1)), 2, 40, at_once=3)
+    assert (r["n"], r["unit"], r["lower"], r["upper"]) == (int(m.sum()), "paired record", *want)
+    assert want != N.multinomial_bootstrap(m, 40)

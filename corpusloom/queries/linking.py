@@ -69,9 +69,8 @@ def version_candidates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("paper_id"), F.substring("text", 1, 60).alias("title"), F.concat_ws("; ", "source", "lang").alias("authors"), (F.lit(2020) + F.col("doc_id") % 5).cast("string").alias("year")
     )
-    few = docs.join(docs.groupBy("title").agg(F.count("*").alias("n")).filter("n > 1"), "title", "left_semi")
-    flags = few.select(F.col("paper_id").alias("a"), (F.col("paper_id") + 1).alias("b")).filter("a % 50 = 0")
-    return L.version_pairs(few, flags).withColumns({"shared_authors": F.array_join("shared_authors", ";"), "reasons": F.array_join("reasons", ";")})
+    flags = docs.select(F.col("paper_id").alias("a"), (F.col("paper_id") + 1).alias("b")).filter("a % 50 = 0")
+    return L.version_pairs(docs, flags).withColumns({"shared_authors": F.array_join("shared_authors", ";"), "reasons": F.array_join("reasons", ";")})
 
 
 @query("""

@@ -242,3 +242,16 @@ def test_near_documents_of_any_length(spark, tmp_path):
     assert {(0, 1), (2, 3), (8, 9)} <= want
     assert {(r["left"], r["right"]) for r in queries()["near_dup_pairs_all"](spark, str(tmp_path)).collect()} == want
     assert {r["node"]: r["component"] for r in queries()["components_all"](spark, str(tmp_path)).collect()} == {x: min(p) for p in want for x in p}
+
+
+def test_version_candidates_of_titles_that_occur_once(spark, tmp_path):
+    import difflib
+
+    from corpusloom.queries import queries
+
+    texts = ["Chat models in surgery training", "Chat models in surgical training", "Other things altogether", "Chat model in surgery training", "Other things altogether"]
+    spark.createDataFrame([(i + 1, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    low = [t.lower() for t in texts]
+    want = {(i + 1, j + 1) for i, j in itertools.combinations(range(len(low)), 2) if difflib.SequenceMatcher(None, low[i], low[j], autojunk=False).ratio() >= 0.84}
+    assert {(1, 2), (3, 5)} <= want
+    assert {(r["left"], r["right"]) for r in queries()["version_candidates"](spark, str(tmp_path)).collect()} == want

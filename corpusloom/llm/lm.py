@@ -1,17 +1,18 @@
-"""Language-model scores: a small causal self-attention model over subword ids, trained in numpy.
+"""Language-model scores: a causal self-attention model over subword ids, trained in numpy.
 
-What the model knows comes from all training documents in three steps. Words are counted over the corpus. The table
-of counted words, spelt in subword ids, gives the counts of ids and of ids that follow each other in a word; from them come
-output classes (frequent ids stand alone, the others share buckets, in which an id's share is fixed) and the log
-probabilities of a class after another one, with which training begins. Then every training document gives one window of
-ids, at a place chosen by a hash, on which copies of the model are trained apart and averaged, twice.
+The model gives each id a probability in three factors that each sum to one. Frequent ids are classes of their own, the
+others share classes, in which an id's share is fixed by its count. Classes lie in groups that are likely after the same
+classes. Attention over the ids before gives the probability of the group; the class before, as counted over the
+corpus, gives that of the class in its group, and is where the groups' scores start from. A text's probability is the
+product over all its ids, the end id included, so that texts of ids sum to one.
 
-A word's probability is that of its ids, interpolated with its count: counts are discounted, what the discount frees goes
-to the attention model, and the attention model has a fixed share besides, through which context speaks for words that
-are known well. The weights sum to one, so that this is one model whose part for unseen words is attention alone.
+Texts are encoded once and stored as ids. Ids and pairs of classes are counted over all training texts, and then every
+id of every training text is trained on once: each partition trains a copy of the model on all its windows, and
+the changes are averaged by the ids that each copy has seen. This is done twice, first on an eighth of the texts, from
+whose average the rest goes on. A partition with few ids goes over them several times.
 
-For scoring, a text is covered by overlapping windows of 2 * STRIDE ids; each window scores its last STRIDE ids with
-the ids before them as context, so that every id is scored once. Windows run through masked attention in batches.
+Texts are covered by overlapping windows of 2 * STRIDE ids; each window trains or scores its last STRIDE ids with the
+ids before them as context, so that every id counts once. Windows run through masked attention in batches.
 """
 
 from __future__ import annotations
@@ -29,200 +30,299 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .pieces import MARK, model
+from .pieces import model
 from .wordstore import blocks
 
 STRIDE = 16
 WIDTH = 2 * STRIDE
 DIMS = 16
-#: Ids with a class of their own, and buckets for all others.
-SINGLE, BUCKETS = 208, 48
-CLASSES = SINGLE + BUCKETS
+#: Classes of ids, those of them that hold one id, and their groups (a power of two).
+CLASSES, SINGLE, GROUPS = 1024, 960, 64
+#: Classes that an id counts as when it stands before another, and those of them that hold one id; a text's begin is one more.
+BEFORE, BEFORE_SINGLE = 256, 200
 #: Words that make up at least one in SHIPPED of all tokens go to every task: so many at most, each of at most SHIPPED_WIDTH bytes.
 SHIPPED, SHIPPED_WIDTH = 1 << 20, 64
-#: Copies of the model that are averaged in one group before the groups are.
-GROUP = 32
-ROUNDS = 3
-#: Windows for each copy, and the attention model's own share of a word's probability.
-COPY_WINDOWS = 4096
-SHARE = 0.3
-#: Text that a worker scores at once, which bounds its memory.
-SCORED_BYTES = 6 << 20
+#: Rounds of training and the share of texts of the first, in eighths; steps' rates at their begin.
+FIRST_EIGHTHS, RATES = 1, (0.02, 0.01)
+#: Ids that are mixed and trained on at once, for which a copy with fewer goes over them again, so many times at most.
+COPY_IDS, PASSES = 1 << 22, 8
+#: Windows in a step of training and of scoring, and windows that stay in a row when training mixes them.
+STEP, SCORED, ROW = 256, 128, 8
+#: Text that a worker encodes at once, and ids that it scores at once, which bound its memory.
+ENCODED_BYTES, SCORED_IDS = 6 << 20, 1 << 21
+#: Scores over this count as this, which keeps exp in its range.
+HIGHEST = np.float32(60)
 
 
-# -- model ---------------------------------------------------------------------------------------------------------
+# -- classes -------------------------------------------------------------------------------------------------------
 
 
 class Classes(NamedTuple):
     of_id: np.ndarray  # class of each id
     share: np.ndarray  # log probability of each id in its class
+    before: np.ndarray  # class that each id, and the begin of a text after them, has before another one
 
 
-def make_classes(counts: np.ndarray, opens: np.ndarray) -> Classes:
-    """counts: of each id of the vocabulary; opens: whether it begins a word.
+class Priors(NamedTuple):
+    group: np.ndarray  # of each class
+    groups: np.ndarray  # [class before, group]: log probability
+    inner: np.ndarray  # [class before, class]: log probability in its group
 
-    Buckets hold about equal parts of the rest, by falling frequency, ids that begin words apart from the others.
-    """
+
+def buckets(counts: np.ndarray, single: int, most: int) -> np.ndarray:
+    """Class of each id: the most frequent stand alone, the others share what is left of ``most`` classes in parts of about equal mass."""
     order = np.argsort(-counts, kind="stable")
-    of_id = np.zeros(len(counts), np.int32)
-    of_id[order[:SINGLE]] = np.arange(min(SINGLE, len(order)))
-    rest = order[SINGLE:]
-    weight = counts[rest] + 0.1
-    share = weight[opens[rest]].sum() / max(weight.sum(), 1e-9)
-    many = min(BUCKETS - 1, max(1, round(BUCKETS * share)))
-    for part, low, n in ((rest[opens[rest]], SINGLE, many), (rest[~opens[rest]], SINGLE + many, BUCKETS - many)):
-        mass = np.cumsum(counts[part] + 0.1)
-        if len(part):
-            of_id[part] = low + np.minimum(n - 1, (mass - mass[0]) * n / mass[-1]).astype(np.int32)
-    total = np.bincount(of_id, counts + 0.1, CLASSES)
-    return Classes(of_id, np.log((counts + 0.1) / total[of_id]).astype(np.float64))
-
-
-def make_start(inner: np.ndarray, last: np.ndarray, first: np.ndarray, ends: int) -> np.ndarray:
-    """Log probabilities [class before, class]; the row after the last class is the one of a text's begin.
-
-    inner: counts of a class after another in a word; last, first: of words that end and begin with it; first holds
-    ends of texts as if they were words.
-    """
-    opening = (first + 0.5) / (first.sum() + 0.5 * CLASSES)
-    whole = inner.sum(0) + first
-    smooth = (whole + 0.5) / (whole.sum() + 0.5 * CLASSES)
-    rows = inner + last[:, None] * opening[None, :] + 2.0 * smooth[None, :]
+    out = np.empty(len(counts), np.int32)
+    out[order[:single]] = np.arange(min(single, len(order)))
+    rest = order[single:]
+    if len(rest):
+        n, mass = most - single, np.cumsum(counts[rest] + 0.1)
+        out[rest] = single + np.minimum(n - 1, (mass - mass[0]) * n / mass[-1]).astype(np.int32)
+    return out
+
+
+def make_classes(counts: np.ndarray) -> Classes:
+    """counts: of each id of the vocabulary."""
+    of_id = buckets(counts, SINGLE, CLASSES)
+    total = np.bincount(of_id, counts + 0.1)
+    return Classes(of_id, np.log((counts + 0.1) / total[of_id]), np.append(buckets(counts, BEFORE_SINGLE, BEFORE), BEFORE).astype(np.int32))
+
+
+def bisected(rows: np.ndarray, mass: np.ndarray, depth: int) -> np.ndarray:
+    """Group of each row: rows are halved by mass along the axis on which they differ most, and the halves again."""
+    out = np.zeros(len(rows), np.int32)
+
+    def cut(at: np.ndarray, group: int, left: int) -> None:
+        out[at] = group
+        if not left or len(at) < 2:
+            return
+        weight = mass[at] / mass[at].sum()
+        y = rows[at] - weight @ rows[at]
+        axis = np.linalg.eigh((y * weight[:, None]).T @ y)[1][:, -1]
+        order = at[np.argsort(y @ axis, kind="stable")]
+        sums = np.cumsum(mass[order])
+        k = 1 + int(np.abs(sums[:-1] - sums[-1] / 2).argmin())
+        cut(order[:k], group, left - 1)
+        cut(order[k:], group + (1 << (left - 1)), left - 1)
+
+    cut(np.arange(len(rows)), 0, depth)
+    return out
+
+
+def make_priors(pairs: np.ndarray) -> Priors:
+    """pairs: counts [class before, class]; its last row is the begin of a text."""
+    whole = pairs.sum(0) + 0.5
+    group = bisected(np.sqrt(pairs / whole).T, whole, GROUPS.bit_length() - 1)
+    rows = pairs + 5 * whole / whole.sum()
     rows /= rows.sum(1, keepdims=True)
-    return np.log(np.vstack([rows, opening[None, :]])).astype(np.float32)
+    member = np.zeros((len(whole), GROUPS))
+    member[np.arange(len(whole)), group] = 1
+    groups = rows @ member
+    with np.errstate(divide="ignore"):
+        logs = np.where(groups > 0, np.log(groups), -1e4)  # a group without classes is never chosen
+    return Priors(group, logs.astype(np.float32), np.log(rows / groups[:, group]).astype(np.float32))
+
+
+# -- model ---------------------------------------------------------------------------------------------------------
+
+#: Distance from each scored place of a window to each of its places, and what keeps later places out.
+APART = np.clip(np.arange(STRIDE)[:, None] + STRIDE - np.arange(WIDTH)[None, :], 0, WIDTH - 1)
+SEEN = np.arange(WIDTH)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
+LATER = np.where(SEEN, 0, -1e4).astype(np.float32)
+Weights = dict[str, np.ndarray]
 
 
-def new_weights(seed: int = 42) -> dict[str, np.ndarray]:
+def new_weights(ids: int, seed: int = 42) -> Weights:
+    """E: a row for each id and the begin; A: queries, keys and values; R: by distance; U: groups."""
     rng = np.random.default_rng(seed)
     mat = lambda *s, k: (rng.standard_normal(s) * k).astype(np.float32)
-    d = DIMS
-    return {"E": mat(CLASSES + 1, d, k=0.3), "P": mat(WIDTH, d, k=0.1), "Q": mat(d, d, k=0.3), "K": mat(d, d, k=0.3), "V": mat(d, d, k=0.3), "O": mat(d, d, k=0.3), "U": mat(d, CLASSES, k=0.01)}
-
-
-CAUSAL = np.where(np.arange(WIDTH)[None, :] <= np.arange(WIDTH)[:, None], 0.0, -1e9).astype(np.float32)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place, for an array that nothing else needs."""
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
-
-
-def gradients(w: dict[str, np.ndarray], start: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and gradients over windows of classes: before and after are (windows, WIDTH), after = -1 isn't scored."""
-    scale = np.float32(1 / math.sqrt(DIMS))
-    x = w["E"][before] + w["P"]
-    q, k, v = x @ w["Q"], x @ w["K"], x @ w["V"]
-    a = _softmax(q @ k.transpose(0, 2, 1) * scale + CAUSAL)
-    mixed = a @ v
-    h = x + mixed @ w["O"]
-    p = _softmax(h @ w["U"] + start[before])
-    flat, want = p.reshape(-1, CLASSES), after.reshape(-1)
-    ok = want >= 0
-    n = max(1, int(ok.sum()))
-    rows = np.flatnonzero(ok)
-    loss = -float(np.log(flat[rows, want[rows]] + 1e-30).sum()) / n
-    flat[rows, want[rows]] -= 1
-    flat[~ok] = 0
-    dz = (flat / n).astype(np.float32)
-    g = {"U": h.reshape(-1, DIMS).T @ dz}
-    dh = (dz @ w["U"].T).reshape(h.shape)
-    flat2 = lambda t: t.reshape(-1, DIMS)
-    g["O"] = flat2(mixed).T @ flat2(dh)
-    dm = dh @ w["O"].T
-    da = dm @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["Q"], g["K"], g["V"] = (flat2(x).T @ flat2(t) for t in (dq, dk, dv))
-    dx = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-    g["P"] = dx.sum(0)
-    c, fx = before.reshape(-1), flat2(dx)
-    order = np.argsort(c, kind="stable")
-    heads = np.flatnonzero(np.diff(c[order], prepend=-1))
-    g["E"] = np.zeros_like(w["E"])
-    g["E"][c[order][heads]] = np.add.reduceat(fx[order], heads, axis=0)
-    return loss, g
+    return {"E": mat(ids + 1, DIMS, k=0.3), "A": mat(DIMS, 3 * DIMS, k=0.3), "R": np.zeros(WIDTH, np.float32), "U": mat(DIMS, GROUPS, k=0.01)}
 
 
-class Adam:
-    def __init__(self, w: dict[str, np.ndarray], rate: float = 0.01):
-        self.w, self.rate, self.t = w, rate, 0
-        self.m = {k: np.zeros_like(x) for k, x in w.items()}
-        self.v = {k: np.zeros_like(x) for k, x in w.items()}
+def layout(ids: np.ndarray, ends: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows' own places of texts that end at ``ends``: (id before, id or -1), each (windows, STRIDE), and which open a text."""
+    sizes = np.diff(ends, prepend=0)
+    many = -(-sizes // STRIDE)
+    n, first = int(many.sum()), np.cumsum(many) - many
+    after = np.full(n * STRIDE, -1, np.int32)
+    after[np.arange(len(ids)) + np.repeat(first * STRIDE - (ends - sizes), sizes)] = ids
+    before = np.empty_like(after)
+    before[1:] = after[:-1]
+    before[before < 0] = begin
+    opens = np.zeros(n, bool)
+    opens[first[sizes > 0]] = True
+    before.reshape(n, STRIDE)[opens, 0] = begin
+    return before.reshape(n, STRIDE), after.reshape(n, STRIDE), opens
+
+
+def _table(rows: np.ndarray, w: Weights) -> np.ndarray:
+    """What depends on the id alone: residual, query, key, value and a one."""
+    f = rows @ w["A"]
+    f[:, :DIMS] *= np.float32(1 / math.sqrt(DIMS))
+    return np.concatenate([rows, f, np.ones((len(f), 1), np.float32)], 1)
+
+
+def _attend(w: Weights, place: np.ndarray, known: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """place: rows of ``known`` for each place; gives own rows, queries, keys, values and one, exponents, their sums of values and one."""
+    n, width = len(opens), known.shape[1]
+    rows = np.empty(((n + 1) * STRIDE, width), np.float32)
+    rows[:STRIDE] = 0
+    np.take(known, place, axis=0, out=rows[STRIDE:], mode="clip")
+    step = rows.strides[0]
+    own, d = rows[STRIDE:].reshape(n, STRIDE, width), DIMS
+    # a window is the places before its own and its own: neighbours share rows
+    windows = np.lib.stride_tricks.as_strided(rows, (n, WIDTH, width), (STRIDE * step, step, rows.itemsize))
+    q, k, v = own[:, :, d : 2 * d], windows[:, :, 2 * d : 3 * d], windows[:, :, 3 * d : 4 * d + 1]
+    s = q @ k.transpose(0, 2, 1)
+    s += w["R"][APART] + LATER
+    np.minimum(s, HIGHEST, out=s)
+    s[opens, :, :STRIDE] = -1e4
+    np.exp(s, out=s)
+    return own, q, k, v, s, s @ v
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that brings equal ids together, where each run begins, and the different ids."""
+    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
+    run = ids[order]
+    heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    return order, heads, run[heads]
+
+
+def gradients(w: Weights, prior: np.ndarray, of_before: np.ndarray, before: np.ndarray, goal: np.ndarray, opens: np.ndarray) -> tuple[float, Weights, tuple[np.ndarray, np.ndarray]]:
+    """Mean loss over the groups ``goal`` (-1 isn't scored), gradients of A, R and U, and rows of E with theirs.
+
+    A window's context is the window before it, unless it opens.
+    """
+    d, n = DIMS, len(before)
+    ids = before.reshape(-1)
+    order, heads, names = _places(ids)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(ids))))
+    x = w["E"][names]
+    own, q, k, v, s, m = _attend(w, place, _table(x, w), opens)
+    part = 1 / m[:, :, d:]
+    m = m[:, :, :d] * part
+    s *= part
+    h = (m + own[:, :, :d]).reshape(-1, d)
+    z = h @ w["U"]
+    z += np.take(prior, of_before[ids], axis=0)
+    np.minimum(z, HIGHEST, out=z)
+    np.exp(z, out=z)
+    want = goal.reshape(-1)
+    ok = (want >= 0).astype(np.float32)
+    share = ok / max(np.float32(1), ok.sum())
+    scale = share / (z.sum(1) if z.dtype == np.float64 else z @ np.ones(z.shape[1], np.float32))
+    flat, at = z.reshape(-1), np.arange(len(want)) * z.shape[1] + np.maximum(want, 0)
+    p = flat[at] * scale
+    loss = -float((np.log(p[ok > 0] / share[ok > 0] + 1e-30)).sum()) * float(share.max())
+    z *= scale[:, None]
+    flat[at] -= share
+    g = {"U": h.T @ z}
+    dm = (z @ w["U"].T).reshape(n, STRIDE, d)
+    da = dm @ v[:, :, :d].transpose(0, 2, 1)
+    da -= np.einsum("nij,nij->ni", dm, m)[:, :, None]
+    da *= s
+    g["R"] = np.bincount(APART.ravel(), (da.sum(0) * SEEN).ravel(), WIDTH).astype(da.dtype)
+    back = np.empty((n, STRIDE, 4 * d), da.dtype)
+    back[:, :, :d] = dm
+    np.matmul(da, k, out=back[:, :, d : 2 * d])
+    for i, t in ((2, da.transpose(0, 2, 1) @ q), (3, s.transpose(0, 2, 1) @ dm)):
+        part = back[:, :, i * d : (i + 1) * d]
+        part[...] = t[:, STRIDE:]
+        part[:-1] += t[1:, :STRIDE]
+    # what follows is linear in the rows of one id, which are summed first
+    sums = np.add.reduceat(back.reshape(-1, 4 * d)[order], heads, axis=0)
+    sums[:, d : 2 * d] *= np.float32(1 / math.sqrt(d))
+    g["A"] = x.T @ sums[:, d:]
+    return loss, g, (names, sums[:, :d] + sums[:, d:] @ w["A"].T)
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.w[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
+class Adam:
+    """Steps on all weights but E, of which only rows that occur move."""
 
-def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What depends on a place of the window and the class there alone: keys, values (through O), and queries with the residual."""
-    x = w["E"][None, :, :] + w["P"][:, None, :]
-    scale = np.float32(1 / math.sqrt(DIMS))
-    flat = lambda t: np.ascontiguousarray(t.reshape(-1, t.shape[-1]).astype(np.float32))
-    late = x[STRIDE:]
-    return flat(x @ w["K"]), flat(x @ w["V"] @ w["O"]), flat(np.concatenate([late @ w["Q"] * scale, late], -1))
+    def __init__(self, w: Weights):
+        self.w, self.t = w, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
 
+    def step(self, g: Weights, rows: np.ndarray, row_g: np.ndarray, rate: float) -> None:
+        self.t += 1
+        for k, at, x in [*((k, slice(None), x) for k, x in g.items()), ("E", rows, row_g)]:
+            m, v = 0.9 * self.m[k][at] + 0.1 * x, 0.999 * self.v[k][at] + 0.001 * x * x
+            self.m[k][at], self.v[k][at] = m, v
+            self.w[k][at] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
-def score_ids(w: dict[str, np.ndarray], start: np.ndarray, classes: np.ndarray, ends: np.ndarray, at_once: int = 64) -> np.ndarray:
-    """Natural log probability of each class given those before it; ends: where each text ends."""
-    sizes = np.diff(ends, prepend=0)
-    windows = -(-sizes // STRIDE)
-    n = int(windows.sum())
-    text = np.repeat(np.arange(len(sizes)), windows)
-    offset = (np.arange(n) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
-    first = (ends - sizes)[text]
-    keys, values, asks = _tables(w)
-    # attention weights need no shift as long as no score can leave the range of exp
-    safe = float(np.abs(asks[:, :DIMS]).sum(1).max() * np.abs(keys).max()) < 80
-    place = np.arange(WIDTH) * (CLASSES + 1)
-    late = np.arange(STRIDE) * (CLASSES + 1)
-    seen = (CAUSAL[STRIDE:] == 0).astype(np.float32)
-    # what is as large as tokens by classes is written into the same memory again and again
-    z, prior = (np.empty((at_once * STRIDE, CLASSES), np.float32) for _ in range(2))
-    ones = np.ones(CLASSES, np.float32)
-    # texts with the begin before them, and room at both ends for windows that stick out
-    padded = np.concatenate([np.zeros(WIDTH, classes.dtype), classes, np.zeros(WIDTH, classes.dtype)])
-    out = np.zeros(len(classes) + STRIDE)
-    span = np.arange(WIDTH)
-    for at in range(0, n, at_once):
-        o, where = offset[at : at + at_once], first[at : at + at_once] + offset[at : at + at_once]
-        # the input at each place is the class before the one to be scored there
-        before = padded[(where + (WIDTH - STRIDE - 1))[:, None] + span]
-        opens = np.flatnonzero(o == 0)
-        before[opens, STRIDE] = CLASSES
-        before[np.flatnonzero(o == STRIDE), 0] = CLASSES
-        m = len(o)
-        mine = before[:, STRIDE:]
-        qx = np.take(asks, mine + late, axis=0)
-        spot = before + place
-        s = qx[..., :DIMS] @ np.take(keys, spot, axis=0).transpose(0, 2, 1)
-        if not safe:
-            s -= np.where(seen > 0, s, -np.inf).max(-1, keepdims=True)
-            np.minimum(s, 0, out=s)
-        np.exp(s, out=s)
-        s *= seen
-        s[opens, :, :STRIDE] = 0
-        h = s @ np.take(values, spot, axis=0)
-        h /= s.sum(-1, keepdims=True)
-        h += qx[..., DIMS:]
-        k = m * STRIDE
-        np.matmul(h.reshape(k, DIMS), w["U"], out=z[:k])
-        np.take(start, mine.reshape(-1), axis=0, out=prior[:k], mode="clip")
-        z[:k] += prior[:k]
-        want = padded[(where + WIDTH)[:, None] + span[:STRIDE]].reshape(-1)
-        won = z[np.arange(k), want].astype(np.float64)
-        np.exp(z[:k], out=z[:k])  # logits stay small: they are log probabilities and a bounded correction
-        won -= np.log(z[:k] @ ones)
-        inside = (o[:, None] + span[:STRIDE] < sizes[text[at : at + at_once]][:, None]).reshape(-1)
-        out[(where[:, None] + span[:STRIDE]).reshape(-1)[inside]] = won[inside]
-    return out[: len(classes)]
+
+class Trained(NamedTuple):
+    model_path: str
+    classes: Classes
+    priors: Priors
+    weights: Weights
+
+
+def score_ids(t: Trained, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Natural log probability of each id given those before it in its text; ends: where each text ends."""
+    before, after, opens = layout(ids, ends, len(t.classes.of_id))
+    w, of_before, group = t.weights, t.classes.before, t.priors.group[t.classes.of_id]
+    known, ones = _table(w["E"], w), np.ones(GROUPS, np.float32)
+    out = np.zeros(after.size)
+    goal = group[np.maximum(after, 0)].reshape(-1)
+    for at in range(0, len(before), SCORED):
+        # the window before the first one is its context
+        lead = min(at, 1)
+        mine, place = slice(at, at + SCORED), before[at - lead : at + SCORED].reshape(-1)
+        own, _, _, _, _, m = _attend(w, place, known, opens[at - lead : at + SCORED])
+        h = m[lead:, :, :DIMS] / m[lead:, :, DIMS:]
+        h += own[lead:, :, :DIMS]
+        z = h.reshape(-1, DIMS) @ w["U"]
+        z += np.take(t.priors.groups, of_before[place[lead * STRIDE :]], axis=0)
+        np.minimum(z, HIGHEST, out=z)
+        n = len(z)
+        won = z.reshape(-1)[np.arange(n) * GROUPS + goal[at * STRIDE : at * STRIDE + n]].astype(np.float64)
+        np.exp(z, out=z)
+        out[at * STRIDE : at * STRIDE + n] = won - np.log(z @ ones)
+    full = after.reshape(-1) >= 0
+    return out[full] + t.priors.inner[of_before[before.reshape(-1)[full]], t.classes.of_id[ids]] + t.classes.share[ids]
+
+
+def fit(t: Trained, texts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float, seed: int) -> tuple[int, Weights]:
+    """Number of ids, and weights after training on all of them; texts: pieces of a partition, as ids and where texts end."""
+    w = {k: x.copy() for k, x in t.weights.items()}
+    adam, rng, seen = Adam(w), np.random.default_rng(seed), 0
+    begin, group = len(t.classes.of_id), t.priors.group[t.classes.of_id]
+
+    def go(parts: list[tuple[np.ndarray, np.ndarray]], passes: int) -> None:
+        nonlocal seen
+        shift = np.cumsum([0, *(len(i) for i, _ in parts)])
+        ids = np.concatenate([i for i, _ in parts])
+        before, after, opens = layout(ids, np.concatenate([e + a for (_, e), a in zip(parts, shift)]), begin)
+        goal = np.where(after >= 0, group[np.maximum(after, 0)], -1)
+        n = len(before)
+        for _ in range(passes):
+            starts = rng.permutation(-(-n // ROW)) * ROW
+            for at in range(0, len(starts), STEP // ROW):
+                # rows of windows, each behind the one that is its context
+                spot = starts[at : at + STEP // ROW, None] + np.arange(-1, ROW)
+                inside = np.clip(spot, 0, n - 1)
+                now = goal[inside]
+                now[:, 0] = -1
+                now[spot >= n] = -1
+                new = opens[inside]
+                new[:, 0] = True
+                _, g, (names, rows) = gradients(w, t.priors.groups, t.classes.before, before[inside].reshape(-1, STRIDE), now.reshape(-1, STRIDE), new.reshape(-1))
+                adam.step(g, names, rows, rate / (1 + 3 * seen / COPY_IDS))
+                seen += STEP * STRIDE
+
+    held, size, total = [], 0, 0
+    for ids, ends in texts:
+        held.append((ids, ends))
+        size, total = size + len(ids), total + len(ids)
+        if size >= COPY_IDS:
+            go(held, 1)
+            held, size = [], 0
+    if size:
+        go(held, 1 if total > size else min(PASSES, -(-COPY_IDS // size)))
+    return total, w
 
 
 # -- texts ---------------------------------------------------------------------------------------------------------
@@ -243,21 +343,6 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def spelled(m, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of texts given as words, each text closed by the end id; where each text ends; ids of each word, ends included."""
-    ids, ends, sizes = m.bare.encode_words(words)
-    offsets = words.offsets.to_numpy()
-    return np.insert(ids, ends, m.end), ends + np.arange(1, len(ends) + 1), np.insert(sizes, offsets[1:] - offsets[0], 1)
-
-
-def interpolated(c: np.ndarray, attention: np.ndarray, n: float, v: float, discount: float) -> np.ndarray:
-    """log10 probability of words with counts c, from the attention model's log10 probability."""
-    p = 10.0**attention
-    free = discount * v / n if n else 1.0
-    own = np.maximum(c - discount, 0) / n if n else 0.0
-    return np.where(c > discount, np.log10(np.maximum((1 - SHARE) * (own + free * p) + SHARE * p, 1e-300)), attention + math.log10((1 - SHARE) * free + SHARE))
-
-
 def _docs(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
@@ -276,233 +361,178 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-class Trained(NamedTuple):
-    model_path: str
-    classes: Classes
-    start: np.ndarray
-    weights: dict[str, np.ndarray]
+def id_kind(ids: int) -> str:
+    return "<u2" if ids <= 1 << 16 else "<u4"
 
 
-def _dense(df: DataFrame, vectors, size: int) -> np.ndarray:
-    """Sum over all rows of what ``vectors`` makes of a batch: pairs (place, amount) below ``size``."""
+def encoded(docs: DataFrame, often: pa.Table, model_path: str) -> DataFrame:
+    """One row for each text, with its ids, and rows (row, w) for its words that aren't among those shipped.
+
+    known and base are of the words that are: how many, and the sum of log10(count + 0.1).
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        m, listing, next_row = model(model_path), pickle.loads(sent.value), TaskContext.get().partitionId() << 40
+        listed = listing["w"].combine_chunks() if listing.num_rows else pa.array([], pa.string())
+        logs = np.log10(np.append(listing["c"].to_numpy().astype(np.float64), 1.0) + 0.1)
+        close = pc.index_in(pa.array([""]), value_set=listed)[0].as_py()
+        kind = id_kind(len(m.widths))
+        for whole in batches:
+            for b in blocks(whole, 1, ENCODED_BYTES):
+                n = b.num_rows
+                lists = split_words(b.column(1))
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                coded = lists.values.dictionary_encode()
+                codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+                spot = pc.fill_null(pc.index_in(names, value_set=listed), -1).to_numpy(zero_copy_only=False)
+                ids, stops, _ = m.bare.encode_coded(names.to_pylist(), codes)
+                stops = np.concatenate([[0], stops])[offsets]
+                # the end of a text is a word like others, at the place of the empty word
+                at = np.insert(spot[codes], offsets[1:], -1 if close is None else close)
+                words = np.diff(offsets) + 1
+                last = np.cumsum(words)
+                each = lambda x: np.add.reduceat(x, last - words)
+                row = next_row + np.arange(n)
+                next_row += n
+                ended = np.insert(ids, stops[1:], m.end).astype(kind)
+                cuts = (stops + np.arange(n + 1)) * ended.itemsize
+                binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(ended.tobytes())])
+                none = lambda k, kind: pa.nulls(k, kind)
+                yield pa.RecordBatch.from_pydict({"row": row, "doc_id": b.column(0), "held_out": pa.array([held_out(d) for d in b.column(0).to_pylist()]), "n_tokens": words, "known": each((at >= 0).astype(np.int64)), "base": each(np.where(at >= 0, logs[at], 0.0)), "ids": binary, "w": none(n, pa.string())})
+                rare = np.flatnonzero(at < 0)
+                if k := len(rare):
+                    spelt = pa.concat_arrays([names, pa.array([""])]).take(pa.array(np.insert(codes, offsets[1:], len(names))[rare]))
+                    yield pa.RecordBatch.from_pydict({"row": np.repeat(row, words)[rare], "doc_id": none(k, pa.int64()), "held_out": none(k, pa.bool_()), "n_tokens": none(k, pa.int64()), "known": none(k, pa.int64()), "base": none(k, pa.float64()), "ids": none(k, pa.binary()), "w": spelt})
+
+    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, ids binary, w string")
+
+
+def ids_of(column: pa.Array, kind: str, most: int = 1 << 62) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+    """Ids of stored texts, where each text ends among them, and which rows they are; at most about ``most`` ids together."""
+    raw = pc.binary_join_element_wise(column, pa.scalar(b""), pa.scalar(b"")) if column.null_count else column
+    cuts = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(raw.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].view(kind)
+    ends = (cuts[1:] - cuts[0]) // size
+    at = 0
+    while at < len(ends):
+        base = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield flat[base : ends[to - 1]].astype(np.int32), ends[at:to] - base, slice(at, to)
+        at = to
+
+
+def _summed(df: DataFrame, vectors, size: int) -> np.ndarray:
+    """Sum over all rows of the whole numbers that ``vectors`` adds to an array of ``size`` for the batches of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for b in batches:
-            vectors(b, total)
+        vectors(batches, total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-    out = np.zeros(size, np.float64)
-    for r in df.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r["i"]] = r["n"]
+    got = df.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got["i"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def spelled_counts(counts: DataFrame, model_path: str) -> DataFrame:
-    """Rows (c, ids): how often each different word occurs, and its ids; ids are empty for the end of a text."""
+def train(texts: DataFrame, model_path: str, ids: int) -> Trained:
+    """texts: row, ids (of the training texts), read from storage as often as needed; ids: size of the vocabulary."""
+    spark, kind = texts.sparkSession, id_kind(ids)
+    column = texts.select("ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
+    def count(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
         for b in batches:
-            words = b.column(0).to_pylist()
-            ids = m.merges.encode([MARK + w if w else "" for w in words], num_threads=1)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=["c", "ids"])
-
-    return counts.select("w", "c").mapInArrow(run, "c long, ids binary")
-
-
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a batch of (c, ids), one after another, the size of each row, and its count."""
-    column = b.column(1)
-    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4"), sizes, b.column(0).to_numpy()
-
-
-def train(docs: DataFrame, counts: DataFrame, model_path: str, texts: int, rounds: int = ROUNDS) -> Trained:
-    spark = docs.sparkSession
-    m = model(model_path)
-    size, end = len(m.widths), m.end
-    spelt = stored(spelled_counts(counts, model_path), "spelt")
-
-    def ids_of(b: pa.RecordBatch, total: np.ndarray) -> None:
-        ids, sizes, c = _flat(b)
-        total += np.bincount(ids, np.repeat(c, sizes), size).astype(np.int64)
-        total[end] += int(c[sizes == 0].sum())
-
-    classes = make_classes(_dense(spelt, ids_of, size), m.opens)
-    of_id = classes.of_id
-
-    def pairs_of(b: pa.RecordBatch, total: np.ndarray) -> None:
-        ids, sizes, c = _flat(b)
-        cls = of_id[ids].astype(np.int64)
-        many = np.repeat(c, sizes)
-        ends = np.cumsum(sizes)
-        full = sizes > 0
-        head = np.zeros(len(ids), bool)
-        head[(ends - sizes)[full]] = True
-        inner = np.flatnonzero(~head)
-        n = CLASSES
-        total[: n * n] += np.bincount(cls[inner - 1] * n + cls[inner], many[inner], n * n).astype(np.int64)
-        total[n * n : n * n + n] += np.bincount(cls[ends[full] - 1], c[full], n).astype(np.int64)
-        total[n * n + n :] += np.bincount(cls[head], c[full], n).astype(np.int64)
-        total[n * n + n + of_id[end]] += int(c[~full].sum())
-
-    n = CLASSES
-    got = _dense(spelt, pairs_of, n * n + 2 * n)
-    start = make_start(got[: n * n].reshape(n, n), got[n * n : n * n + n], got[n * n + n :], 0)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mm = model(model_path)
-        for whole in batches:
-            for b in blocks(whole, 1):
-                ids_ = b.column(0).to_pylist()
-                keep = pa.array([not held_out(d) for d in ids_])
-                lists = split_words(b.column(1).filter(keep))
-                if not len(lists):
-                    continue
-                # the words of a stretch that is long enough for a window, from a place that the id's hash chooses
-                first, last = lists.offsets.to_numpy()[:-1].astype(np.int64), lists.offsets.to_numpy()[1:].astype(np.int64)
-                chosen = np.array([zlib.crc32(f"w{d}".encode()) for d, k in zip(ids_, keep.to_pylist()) if k], np.int64)
-                begin = first + chosen % np.maximum(1, last - first - WIDTH // 2)
-                stop = np.minimum(last, begin + WIDTH)
-                cut = stop - begin
-                at = np.repeat(begin - np.concatenate([[0], np.cumsum(cut)[:-1]]), cut) + np.arange(cut.sum())
-                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cut)]), pa.int32()), lists.values.take(pa.array(at)))
-                ids, ends, _ = spelled(mm, words)
-                sizes = np.diff(ends, prepend=0)
-                cls = np.full((len(sizes), WIDTH + 1), -1, np.int16)
-                take = np.minimum(sizes, WIDTH)
-                row, col = np.repeat(np.arange(len(sizes)), take), np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-                cls[row, col + 1] = of_id[ids[(ends - sizes)[row] + col]]
-                cls[:, 0] = CLASSES
-                # a stretch that doesn't end its text has no end id
-                short = stop < last
-                hit = np.flatnonzero(short & (sizes <= WIDTH))
-                cls[hit, sizes[hit]] = -1
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in cls], pa.binary())], names=["window"])
-
-    dealt = stored(docs.mapInArrow(windows, "window binary").repartition(max(1, round(texts / COPY_WINDOWS))), "trainwindows")
-    weights = new_weights()
-    for r in range(rounds):
-        sent = spark.sparkContext.broadcast(pickle.dumps((weights, start)))
-
-        def fit(batches: Iterator[pa.RecordBatch], rate: float = 0.03 / (1 + 2 * r)) -> Iterator[pa.RecordBatch]:
+            for x, _, _ in ids_of(b.column(0), kind):
+                total += np.bincount(x, minlength=ids)
+
+    classes = make_classes(_summed(column, count, ids).astype(np.float64))
+    across = int(classes.of_id.max()) + 1
+
+    def pair(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
+        for b in batches:
+            for x, ends, _ in ids_of(b.column(0), kind):
+                before = np.empty(len(x), np.int64)
+                before[1:] = classes.before[x[:-1]]
+                before[np.concatenate([[0], ends[:-1]])] = BEFORE
+                total += np.bincount(before * across + classes.of_id[x], minlength=len(total))
+
+    priors = make_priors(_summed(column, pair, (BEFORE + 1) * across).reshape(BEFORE + 1, across).astype(np.float64))
+    t = Trained(model_path, classes, priors, new_weights(ids))
+    first = F.pmod(F.xxhash64("row"), F.lit(8)) < FIRST_EIGHTHS
+    shapes = {k: x.shape for k, x in t.weights.items()}
+    starts = dict(zip(shapes, np.cumsum([0, *(x.size for x in t.weights.values())])))
+    for r, rate in enumerate(RATES):
+        sent = spark.sparkContext.broadcast(pickle.dumps(t))
+
+        def run(batches: Iterator[pa.RecordBatch], rate: float = rate, sent=sent) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            w, begin = pickle.loads(sent.value)
-            w = {k: x.copy() for k, x in w.items()}
-            adam, seen = Adam(w, rate), 0
-            rng = np.random.default_rng(r)
-            # about COPY_WINDOWS windows come to each copy; a copy that has fewer goes over them again
-            parts = [np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16).reshape(-1, WIDTH + 1) for b in batches if b.num_rows]
-            rows = np.concatenate(parts).astype(np.int64) if parts else np.zeros((0, WIDTH + 1), np.int64)
-            own = len(rows)
-            while own and seen < max(own, COPY_WINDOWS):
-                mixed = rows[rng.permutation(own)]
-                for at in range(0, own, 32):
-                    part = mixed[at : at + 32]
-                    before = part[:, :-1].copy()
-                    before[before < 0] = CLASSES
-                    _, g = gradients(w, begin, before, part[:, 1:])
-                    adam.step(g)
-                seen += own
-            if seen:
-                group = TaskContext.get().partitionId() // GROUP
-                yield pa.RecordBatch.from_pydict({"g": pa.array([group], pa.int64()), "n": pa.array([own], pa.int64()), "w": pa.array([pickle.dumps({k: x * own for k, x in w.items()})], pa.binary())})
-
-        def average(pdf):
-            import pandas as pd
-
-            parts = [pickle.loads(x) for x in pdf["w"]]
-            return pd.DataFrame({"n": [int(pdf["n"].sum())], "w": [pickle.dumps({k: sum(p[k] for p in parts) for k in parts[0]})]})
-
-        fitted = dealt.mapInArrow(fit, "g long, n long, w binary").groupBy("g").applyInPandas(average, "n long, w binary")
-        parts = [(x["n"], pickle.loads(bytes(x["w"]))) for x in fitted.toLocalIterator()]
-        if parts:
-            n_all = sum(x for x, _ in parts)
-            weights = {k: (sum(p[k] for _, p in parts) / n_all).astype(np.float32) for k in weights}
+            own = pickle.loads(sent.value)
+            n, w = fit(own, (x[:2] for b in batches for x in ids_of(b.column(0), kind)), rate, TaskContext.get().partitionId())
+            if n:
+                moved = [(starts[k] + at, (x.ravel()[at].astype(np.float64) - own.weights[k].ravel()[at])) for k, x in w.items() if len(at := np.flatnonzero(x.ravel() != own.weights[k].ravel()))]
+                # whole numbers, so that no order of adding makes a difference; place -1 has the ids seen
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([n], pa.decimal128(38, 0))], names=["i", "x"])
+                for at, x in moved:
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([int(v) * n for v in np.rint(x * 2.0**40)], pa.decimal128(38, 0))], names=["i", "x"])
+
+        got = texts.filter(first if r == 0 else ~first).select("ids")
+        sums = got.mapInArrow(run, "i long, x decimal(38,0)").groupBy("i").agg(F.sum("x").cast("double").alias("x")).toArrow()
         sent.unpersist()
-    return Trained(model_path, classes, start, weights)
+        at, x = sums["i"].to_numpy(), sums["x"].to_numpy()
+        if len(at):
+            flat = np.concatenate([w.ravel() for w in t.weights.values()]).astype(np.float64)
+            flat[at[at >= 0]] += x[at >= 0] / 2.0**40 / x[at < 0][0]
+            t = t._replace(weights={k: flat[starts[k] : starts[k] + math.prod(shapes[k])].reshape(shapes[k]).astype(np.float32) for k in shapes})
+    return t
 
 
 def score_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", shipped: int = SHIPPED) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row for each row of documents.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_ids, one row for each row of documents.
 
     n_tokens: words and one end; n_known: those that occur in training documents (ids whose CRC-32 modulo 10 isn't 0).
-    base_score: log10 probability by smoothed word counts; score: by the model. A null or empty text is its end alone;
-    a null id counts as held out. Rows that share an id are scored apart. Other columns are passed over. An empty
-    table gives an empty table; without training documents the model is its random start. Words that make up less than
-    one in ``shipped`` of the training tokens get their counts by a join, in which by that bound none is frequent.
+    base_score: log10 probability by smoothed word counts; score: the model's log10 probability of the text's n_ids
+    subword ids, with the end. Texts that differ in white space, the case of A-Z or a word mark (U+2581) alone have the same
+    ids. A null or empty text is its end alone; a null id counts as held out. Rows that share an id are scored
+    apart. Other columns are passed over. An empty table gives an empty table; without training documents the model is
+    its random start. Words that make up less than one in ``shipped`` of the training tokens get their counts by a
+    join, in which by that bound none is frequent.
     """
     spark = documents.sparkSession
     docs = _docs(documents, doc_id, text)
     counts = stored(word_counts(docs), "wordcounts")
-    is_n = lambda k: F.sum(F.when(F.col("c") == k, 1).otherwise(0))
-    n, v, texts, n1, n2 = (x or 0 for x in counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("w") == "", F.col("c"))), is_n(1), is_n(2)).first())
-    discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    trained = train(docs, counts, model_path, texts)
+    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     often = counts.filter((F.col("c") * shipped >= n) & (F.octet_length("w") <= SHIPPED_WIDTH))
-    top = often.toArrow().combine_chunks()
-    sent = spark.sparkContext.broadcast(pickle.dumps((trained, top)))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, w string, lp double"
+    made = stored(encoded(docs, often.toArrow().combine_chunks(), model_path), "encoded")
+    texts = made.filter("w is null").drop("w")
+    ids = len(model(model_path).widths)
+    kind = id_kind(ids)
+    sent = spark.sparkContext.broadcast(pickle.dumps(train(texts.filter("not held_out").select("row", "ids"), model_path, ids)))
+    kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        t, listing = pickle.loads(sent.value)
-        m, next_row = model(t.model_path), TaskContext.get().partitionId() << 40
-        listed = listing["w"].combine_chunks() if listing.num_rows else pa.array([], pa.string())
-        listed_c = np.append(listing["c"].to_numpy().astype(np.float64), 0.0)
-        close = pc.index_in(pa.array([""]), value_set=listed)[0].as_py()
-        close = -1 if close is None else close
-        for whole in batches:
-            for b in blocks(whole, 1, SCORED_BYTES):
-                rows = b.num_rows
-                lists = split_words(b.column(1))
-                offsets = lists.offsets.to_numpy().astype(np.int64)
-                coded = lists.values.dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                place = pc.fill_null(pc.index_in(coded.dictionary, value_set=listed), -1).to_numpy(zero_copy_only=False)
-                # the end of a text is a word like others: code len(place), at the place of the empty word
-                codes = np.insert(codes, offsets[1:], len(place))
-                place = np.append(place, close)
-                words = np.diff(offsets) + 1
-                last = np.cumsum(words)
-                ids, stops, sizes = m.bare.encode_coded(coded.dictionary.to_pylist(), codes[codes < len(place) - 1])
-                # the end id of each text, after its last word
-                stops = np.concatenate([[0], stops])[offsets[1:]]
-                sizes, ids, ends = np.insert(sizes, offsets[1:], 1), np.insert(ids, stops, m.end), stops + np.arange(1, rows + 1)
-                lp = score_ids(t.weights, t.start, t.classes.of_id[ids], ends) + t.classes.share[ids]
-                lp = np.add.reduceat(lp, np.cumsum(sizes) - sizes) / math.log(10)
-                at = place[codes]
-                hit = at >= 0
-                c = listed_c[at]
-                each = lambda x: np.add.reduceat(x, last - words)
-                base = each(np.where(hit, np.log10(c + 0.1), 0.0))
-                score = each(np.where(hit, interpolated(c, lp, n, v, discount), 0.0))
-                row = next_row + np.arange(rows)
-                next_row += rows
-                none = lambda k, kind: pa.nulls(k, kind)
-                yield pa.RecordBatch.from_pydict({"row": row, "doc_id": b.column(0), "held_out": pa.array([held_out(d) for d in b.column(0).to_pylist()]), "n_tokens": words, "known": each(hit.astype(np.int64)), "base": base, "score": score, "w": none(rows, pa.string()), "lp": none(rows, pa.float64())})
-                rare = np.flatnonzero(~hit)
-                if k := len(rare):
-                    names = pa.concat_arrays([coded.dictionary, pa.array([""])])
-                    yield pa.RecordBatch.from_pydict({"row": np.repeat(row, words)[rare], "doc_id": none(k, pa.int64()), "held_out": none(k, pa.bool_()), "n_tokens": none(k, pa.int64()), "known": none(k, pa.int64()), "base": none(k, pa.float64()), "score": none(k, pa.float64()), "w": names.take(pa.array(codes[rare])), "lp": lp[rare]})
+        t = pickle.loads(sent.value)
+        for b in batches:
+            for x, ends, rows in ids_of(b.column(len(kept)), kind, SCORED_IDS):
+                sizes = np.diff(ends, prepend=0)
+                score = np.add.reduceat(score_ids(t, x, ends), ends - sizes) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(rows.start, rows.stop - rows.start) for i in range(len(kept))), pa.array(sizes), pa.array(score)], names=[*kept, "n_ids", "score"])
 
-    made = stored(docs.mapInArrow(run, schema), "scored")
-    rare = made.filter("w is not null").select("row", "w", "lp")
+    heads = texts.select(*kept, "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, n_ids long, score double")
     seldom = counts.filter((F.col("c") * shipped < n) | (F.octet_length("w") > SHIPPED_WIDTH)).withColumnRenamed("w", "word")
-    c, p = F.coalesce("c", F.lit(0)), F.pow(F.lit(10.0), "lp")
-    free = discount * v / n if n else 1.0
-    mixed = F.when(c > discount, F.log10((1 - SHARE) * ((c - discount) / max(n, 1) + free * p) + SHARE * p)).otherwise(F.col("lp") + math.log10((1 - SHARE) * free + SHARE))
-    part = rare.join(seldom, rare["w"] == seldom["word"], "left").select(F.col("row").alias("r"), F.log10(c + 0.1).alias("b"), mixed.alias("s"), F.when(c > 0, 1).otherwise(0).alias("k"))
-    sums = part.groupBy("r").agg(F.sum("b").alias("b"), F.sum("s").alias("s"), F.sum("k").alias("k"))
-    heads = made.filter("w is null").drop("w", "lp")
+    c = F.coalesce("c", F.lit(0))
+    rare = made.filter("w is not null").select(F.col("row").alias("r"), "w")
+    part = rare.join(seldom, rare["w"] == seldom["word"], "left")
+    sums = part.groupBy("r").agg(F.sum(F.log10(c + 0.1)).alias("b"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("k"))
     out = heads.join(sums, heads["row"] == sums["r"], "left")
     whole = math.log10(n + 0.1 * (v + 1))
     plus = lambda a, x: F.col(a) + F.coalesce(x, F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", plus("known", "k").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (plus("base", "b") - F.col("n_tokens") * whole).alias("base_score"), plus("score", "s").alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", plus("known", "k").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (plus("base", "b") - F.col("n_tokens") * whole).alias("base_score"), "score", "n_ids")
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:

@@ -279,53 +279,103 @@ def test_packing(spark, odd, none, piece_path):
 # -- op3 -----------------------------------------------------------------------------------------------------------
 
 
+def toy(ids=70, seed=1, texts=60):
+    """A model of a small vocabulary, and the texts it has learnt from."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 60, texts)
+    x = (rng.random(sizes.sum()) ** 2 * ids).astype(np.int32)
+    ends = np.cumsum(sizes)
+    classes = lm.make_classes(np.bincount(x, minlength=ids).astype(float))
+    pairs = np.zeros((lm.BEFORE + 1, classes.of_id.max() + 1))
+    for e, n in zip(ends, sizes):
+        t = x[e - n : e]
+        for b, a in zip([ids, *t[:-1]], t):
+            pairs[classes.before[b], classes.of_id[a]] += 1
+    model = lm.Trained("", classes, lm.make_priors(pairs), lm.new_weights(ids, seed))
+    seen, w = lm.fit(model, iter([(x, ends)]), 0.02, 0)
+    assert seen == len(x)
+    return model._replace(weights=w), x, ends
+
+
+def slow_group(t, before, i):
+    """Probabilities of the groups at place i of a text, by definition."""
+    w, lo = t.weights, max(0, i // lm.STRIDE * lm.STRIDE - lm.STRIDE)
+    x = w["E"][np.array(before[lo : i + 1])].astype(np.float64)
+    q, k, v = np.split(x @ w["A"], 3, axis=1)
+    s = k @ q[-1] / np.sqrt(lm.DIMS) + w["R"][i - lo - np.arange(len(x))]
+    a = np.exp(s - s.max())
+    z = (x[-1] + a @ v / a.sum()) @ w["U"] + t.priors.groups[t.classes.before[before[i]]]
+    p = np.exp(z - z.max())
+    return p / p.sum()
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
-    w = {k: x.astype(np.float64) for k, x in lm.new_weights(3).items()}
+    w = {k: x.astype(np.float64) for k, x in lm.new_weights(30, 3).items()}
     w["U"] *= 30
-    start = np.log(rng.dirichlet(np.ones(lm.CLASSES), lm.CLASSES + 1))
-    before, after = rng.integers(0, lm.CLASSES, (3, lm.WIDTH)), rng.integers(0, lm.CLASSES, (3, lm.WIDTH))
-    after[1, 20:] = -1
-    _, g = lm.gradients(w, start, before, after)
+    w["R"] = rng.standard_normal(lm.WIDTH)
+    prior, of_before = np.log(rng.dirichlet(np.ones(lm.GROUPS), 8)), rng.integers(0, 8, 31)
+    before, goal = rng.integers(0, 31, (3, lm.STRIDE)), rng.integers(0, lm.GROUPS, (3, lm.STRIDE))
+    goal[1, 9:] = -1
+    opens = np.array([True, False, True])
+    loss = lambda w: lm.gradients(w, prior, of_before, before, goal, opens)
+    _, g, (rows, row_g) = loss(w)
+    g["E"] = np.zeros_like(w["E"])
+    g["E"][rows] = row_g
     for k in w:
-        at = tuple(int(rng.integers(0, n)) for n in w[k].shape) if k != "E" else (int(before[0, 0]), 3)
-        eps = 1e-4
-        hi, lo = ({n: x.copy() for n, x in w.items()} for _ in range(2))
-        hi[k][at] += eps
-        lo[k][at] -= eps
-        slope = (lm.gradients(hi, start, before, after)[0] - lm.gradients(lo, start, before, after)[0]) / (2 * eps)
-        assert g[k][at] == pytest.approx(slope, rel=2e-2, abs=1e-6), k
+        for _ in range(3):
+            at = tuple(int(rng.integers(0, n)) for n in w[k].shape) if k != "E" else (int(rng.choice(rows)), int(rng.integers(0, lm.DIMS)))
+            hi, lo = ({n: x.copy() for n, x in w.items()} for _ in range(2))
+            hi[k][at] += 1e-2
+            lo[k][at] -= 1e-2
+            slope = (loss(hi)[0] - loss(lo)[0]) / 2e-2
+            assert g[k][at] == pytest.approx(slope, rel=3e-2, abs=2e-5), k
 
 
-def test_windows_score_every_id_once_with_masked_context():
+def test_texts_are_scored_as_defined_each_id_once():
+    t, _, _ = toy()
     rng = np.random.default_rng(2)
-    w = lm.new_weights(5)
-    w["U"] = rng.standard_normal(w["U"].shape).astype(np.float32) * 0.5
-    start = np.log(rng.dirichlet(np.ones(lm.CLASSES), lm.CLASSES + 1)).astype(np.float32)
-    texts = [rng.integers(0, lm.CLASSES, n) for n in (1, 15, 16, 17, 70)]
-    got = lm.score_ids(w, start, np.concatenate(texts), np.cumsum([len(t) for t in texts]), at_once=3)
+    n = len(t.classes.of_id)
+    texts = [rng.integers(0, n, k) for k in (1, 15, 16, 17, 70, 3000)]
+    got = lm.score_ids(t, np.concatenate(texts), np.cumsum([len(x) for x in texts]))
     want = []
-    for t in texts:
-        before = np.concatenate([[lm.CLASSES], t[:-1]])
-        for i in range(len(t)):
-            lo = max(0, i // lm.STRIDE * lm.STRIDE - lm.STRIDE)
-            offset = i // lm.STRIDE * lm.STRIDE - lm.STRIDE
-            keys = np.arange(lo, i + 1)
-            x = w["E"][before[keys]] + w["P"][keys - offset]
-            q = x[-1] @ w["Q"]
-            s = (x @ w["K"]) @ q / np.sqrt(lm.DIMS)
-            a = np.exp(s - s.max())
-            h = x[-1] + (a / a.sum()) @ (x @ w["V"]) @ w["O"]
-            z = h @ w["U"] + start[before[i]]
-            want.append(z[t[i]] - np.log(np.exp(z).sum()))
-    assert got == pytest.approx(np.array(want), abs=2e-4)
-
-
-def test_interpolation_sums_to_one():
-    counts, n = np.array([3.0, 1.0, 1.0, 0.0, 0.0]), 5.0
-    attention = np.log10(np.array([0.1, 0.2, 0.3, 0.15, 0.25]))
-    assert (10 ** lm.interpolated(counts, attention, n, 3, 0.6)).sum() == pytest.approx(1)
-    assert lm.interpolated(counts, attention, 0, 0, 0.6) == pytest.approx(attention)
+    for x in texts:
+        before = [n, *x[:-1]]
+        for i, a in enumerate(x):
+            p = slow_group(t, before, i)[t.priors.group[t.classes.of_id[a]]]
+            want.append(np.log(p) + t.priors.inner[t.classes.before[before[i]], t.classes.of_id[a]] + t.classes.share[a])
+    assert got == pytest.approx(np.array(want), abs=1e-3)
+
+
+def test_probabilities_of_all_ids_sum_to_one():
+    t, x, ends = toy()
+    n = len(t.classes.of_id)
+    for context in ([], [3], x[:15].tolist(), x[:16].tolist(), x[:40].tolist()):
+        every = np.concatenate([[*context, a] for a in range(n)]).astype(np.int32)
+        size = len(context) + 1
+        got = lm.score_ids(t, every, size * np.arange(1, n + 1))
+        assert np.exp(got[size - 1 :: size]).sum() == pytest.approx(1, abs=1e-5)
+    # so do those of all texts of two ids
+    pairs = np.array([[a, b] for a in range(n) for b in range(n)], np.int32)
+    assert np.exp(np.add.reduceat(lm.score_ids(t, pairs.ravel(), 2 * np.arange(1, n * n + 1)), 2 * np.arange(n * n))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_training_meets_every_id_and_learns(monkeypatch):
+    t, x, ends = toy()
+    met, real = [], lm.gradients
+    monkeypatch.setattr(lm, "COPY_IDS", 500)  # several pieces, each gone over once
+
+    def counted(w, prior, of_before, before, goal, opens):
+        met.extend(goal[goal >= 0].tolist())
+        return real(w, prior, of_before, before, goal, opens)
+
+    monkeypatch.setattr(lm, "gradients", counted)
+    texts = [(x[a:b], np.array([b - a])) for a, b in zip([0, *ends[:-1]], ends)]
+    seen, _ = lm.fit(t, iter(texts), 0.01, 1)
+    group = t.priors.group[t.classes.of_id[x]]
+    assert seen == len(x) and np.bincount(met, minlength=lm.GROUPS).tolist() == np.bincount(group, minlength=lm.GROUPS).tolist()
+    untrained = t._replace(weights=lm.new_weights(len(t.classes.of_id), 1))
+    assert lm.score_ids(t, x, ends).sum() > lm.score_ids(untrained, x, ends).sum()
 
 
 @pytest.mark.parametrize("shipped", [1 << 20, 3])
@@ -346,6 +396,11 @@ def test_scores(spark, odd, none, piece_path, shipped):
         assert tuple(r)[1:5] == want[r["doc_id"]][:4]
         assert r["base_score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9)
         assert np.isfinite(r["score"]) and r["score"] < 0
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    ids = {i: sum(len(sp.encode(w)) for w in (t or "").encode().lower().decode().split()) + 1 for i, t, *_ in ROWS if i not in (5, 7)}
+    assert all(r["n_ids"] == ids[r["doc_id"]] for r in rows if r["doc_id"] in ids)
     assert lm.score_documents(none, piece_path).count() == 0
 
 

@@ -10,20 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: a checkpoint in the folder that the cluster names, or a temporary one where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp()
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+from .lineage import cut
 
 
 def connected(edges: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -32,14 +19,14 @@ def connected(edges: DataFrame, left: str = "left", right: str = "right") -> Dat
     Labels jump: every round a node takes the smallest label around it, and then that label's own label, so that rounds
     grow with the logarithm of a component's width. Aggregates are partial, and joins may split frequent nodes.
     """
-    e = _cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).union(edges.select(right, left)).filter("a is not null and b is not null").distinct())
-    labels = _cut(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    e = cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).union(edges.select(right, left)).filter("a is not null and b is not null").distinct())
+    labels = cut(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         around = e.join(labels, e["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "n")
         near = labels.join(around, labels["node"] == around["n"]).select("node", "component", F.least("component", "m").alias("now"))
         up = labels.select(F.col("node").alias("n2"), F.col("component").alias("jump"))
         step = near.join(up, near["now"] == up["n2"], "left").select("node", "component", F.least("now", "jump").alias("now"))
-        step = _cut(step)
+        step = cut(step)
         if step.filter("now <> component").isEmpty():
             return labels
         labels = step.select("node", F.col("now").alias("component"))
@@ -73,50 +60,62 @@ def spring_layout(nodes: Sequence[str], edges: Sequence[tuple[str, str, float]],
     return {x: (float(pos[i, 0]), float(pos[i, 1])) for x, i in at.items()}
 
 
+def _crossed(orders: np.ndarray, chords: np.ndarray) -> np.ndarray:
+    """Crossings of straight chords for each order. orders: (orders, places) of node numbers; chords: (edges, 2) of node numbers."""
+    place = np.argsort(orders, axis=1)
+    out = np.empty(len(orders), np.int64)
+    most = max(1, (1 << 24) // max(1, len(chords)) ** 2)
+    for at in range(0, len(orders), most):
+        ends = np.sort(place[at : at + most][:, chords], axis=2)
+        lo, hi = ends[..., 0], ends[..., 1]
+        # chords cross if exactly one of them starts inside the other and ends outside
+        starts_inside = (lo[:, :, None] < lo[:, None, :]) & (lo[:, None, :] < hi[:, :, None])
+        out[at : at + most] = (starts_inside & (hi[:, :, None] < hi[:, None, :])).sum((1, 2))
+    return out
+
+
 def crossings(order: Sequence[str], edges: Sequence[tuple[str, str]]) -> int:
     """Crossings of straight chords between places on a circle."""
     at = {x: i for i, x in enumerate(order)}
-    chords = np.array([sorted((at[a], at[b])) for a, b in edges]).reshape(-1, 2)
-    lo, hi = chords[:, 0], chords[:, 1]
-    # chords cross if exactly one of them starts inside the other and ends outside
-    return int(((lo[:, None] < lo[None]) & (lo[None] < hi[:, None]) & (hi[:, None] < hi[None])).sum())
+    return int(_crossed(np.arange(len(at))[None], np.array([(at[a], at[b]) for a, b in edges], int).reshape(-1, 2))[0])
+
+
+#: Fixed value: seed of the shuffled starts.
+CIRCLE_SEED = 2026081702
 
 
-def circular_order(edges: Sequence[tuple[str, str, int]], starts: int = 64, seed: int = 2026081702) -> tuple[list[str], int]:
+def circular_order(edges: Sequence[tuple[str, str, int]], starts: int = 64, seed: int = CIRCLE_SEED) -> tuple[list[str], int]:
     """Order of a small network's nodes on a circle with few crossings, and their number.
 
-    From the alphabetical order, the order by weighted degree and shuffled ones, the best swap is made as long as it helps;
-    ties go to the order that comes first in the alphabet.
+    From the alphabetical order, the order by weighted degree and shuffled ones, the best of all swaps of two nodes is
+    made as long as it helps. Nodes are numbered by the alphabet, so that an order is a row of numbers; all swaps of an
+    order are rows of one matrix, whose crossings are counted together, and ties go to the smallest row.
     """
     names = sorted({x for a, b, _ in edges for x in (a, b)}, key=str.casefold)
-    plain = [(a, b) for a, b, _ in edges]
-    weight = {x: sum(c for a, b, c in edges if x in (a, b)) for x in names}
+    number = {x: i for i, x in enumerate(names)}
+    chords = np.array([(number[a], number[b]) for a, b, _ in edges], int).reshape(-1, 2)
+    degree = np.bincount(chords.ravel(), np.repeat([c for _, _, c in edges], 2), len(names))
     rng = random.Random(seed)
-    begin = [list(names), sorted(names, key=lambda x: (-weight[x], x.casefold()))]
+    rows = [np.arange(len(names)), np.argsort(-degree, kind="stable")]
     for _ in range(starts):
-        mixed = list(names)
-        rng.shuffle(mixed)
-        begin.append(mixed)
-    rank = lambda cost, order: (cost, [x.casefold() for x in order])
-    found = []
-    for order in begin:
-        cost = crossings(order, plain)
-        while True:
-            tried = []
-            for i in range(len(order)):
-                for j in range(i + 1, len(order)):
-                    other = list(order)
-                    other[i], other[j] = other[j], other[i]
-                    tried.append(rank(crossings(other, plain), other) + (other,))
-            if not tried:
-                break
-            best = min(tried, key=lambda t: t[:2])
-            if best[0] >= cost:
-                break
-            cost, order = best[0], best[2]
-        found.append((cost, order))
-    cost, order = min(found, key=lambda t: rank(*t))
-    return order, cost
+        rng.shuffle(mixed := list(range(len(names))))
+        rows.append(np.array(mixed, int))
+    i, j = np.triu_indices(len(names), 1)
+    smallest = lambda costs, orders: int(np.lexsort((*orders.T[::-1], costs))[0])
+    ends = []
+    for row in rows:
+        cost, better = int(_crossed(row[None], chords)[0]), len(i) > 0
+        while better:
+            swapped = np.repeat(row[None], len(i), axis=0)
+            each = np.arange(len(i))
+            swapped[each, i], swapped[each, j] = row[j], row[i]
+            costs = _crossed(swapped, chords)
+            k = smallest(costs, swapped)
+            if better := costs[k] < cost:
+                cost, row = int(costs[k]), swapped[k]
+        ends.append((cost, row))
+    best = smallest(np.array([c for c, _ in ends]), np.array([r for _, r in ends]))
+    return [names[x] for x in ends[best][1]], ends[best][0]
 
 
 def triangle(table: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import author_tokens, doi, jaccard, linking_text, title_similarity, year
 from ..sources.sinks import set_id
+from .lineage import cut
 
 
 def ordered_pair(a: str | Column, b: str | Column) -> Column:
@@ -62,22 +63,51 @@ def linking_marks(c: str) -> Column:
     return linking_text(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), ";", " zzsepzz "))
 
 
+def similar_classes(docs: DataFrame, key: str, tokens: Column, least: float) -> DataFrame:
+    """(left, right, similarity) of classes of equal sets whose Jaccard similarity is at least ``least``, and of their members.
+
+    The smallest key of a class stands for it: pairs are of such keys, and every other member of a class is paired with
+    its own (similarity 1), so that copies take one row each. Prefix filter: the tokens of a set are sorted by how rare
+    they are, and two sets that are alike enough share one of their first size - ceil(least * size) + 1 tokens. Only
+    keys, sizes and places go through that join; a pair stays a candidate if its sizes and what follows the shared
+    places allow the similarity, and sets are fetched for candidates alone.
+    """
+    sets = docs.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("t")).filter(F.size("t") > 0)
+    mark = lambda salt: F.xxhash64(F.lit(salt), "t")
+    keyed = sets.withColumns({"h1": mark("a"), "h2": mark("b")})
+    classes = cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("t").alias("t")))
+    heads = classes.select("h1", "h2", F.col("id").alias("left"))
+    members = keyed.select("h1", "h2", F.col("id").alias("right")).join(heads, ["h1", "h2"]).filter("left <> right")
+    each = classes.select("id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    first = (F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1) & (F.col("df") > 1)
+    kept = cut(each.join(often, "token").withColumn("k", place).filter(first).select("id", "n", "token", "k"))
+    a, b = (kept.select("token", F.col("id").alias(f"{p}id"), F.col("n").alias(f"{p}n"), F.col("k").alias(f"{p}k")) for p in "ab")
+    near = a.join(b, "token").filter((F.col("aid") < F.col("bid")) & (F.col("an") >= F.col("bn") * least) & (F.col("bn") >= F.col("an") * least))
+    # a pair's first shared token is where most may follow
+    reach = 1 + F.least(F.col("an") - F.col("ak"), F.col("bn") - F.col("bk"))
+    found = near.groupBy("aid", "bid").agg(F.max(reach).alias("reach"), F.first(F.col("an") + F.col("bn")).alias("both"))
+    found = found.filter(F.col("reach") * (1 + least) >= F.col("both") * least - 1e-9)
+    side = lambda p: classes.select(F.col("id").alias(f"{p}id"), F.col("t").alias(f"{p}t"))
+    pairs = found.select("aid", "bid").join(side("a"), "aid").join(side("b"), "bid").withColumn("similarity", jaccard(F.col("at"), F.col("bt")))
+    alike = pairs.filter(F.col("similarity") >= least).select(F.col("aid").alias("left"), F.col("bid").alias("right"), "similarity")
+    return alike.unionByName(members.select("left", "right", F.lit(1.0).alias("similarity")))
+
+
 def shared_token_pairs(docs: DataFrame, key: str, tokens: Column, least: float) -> DataFrame:
-    """(left, right, similarity) of sets whose Jaccard similarity is at least ``least``.
+    """(left, right, similarity) of all pairs of sets whose Jaccard similarity is at least ``least``.
 
-    Prefix filter: sets are sorted by how rare their tokens are, and two sets that are alike enough share one of their
-    first tokens, size - ceil(least * size) + 1 of them; only those are joined.
+    The pairs of a class of copies grow with the square of its size; similar_classes has one row for each copy instead.
     """
-    sets = docs.select(F.col(key).alias("id"), F.array_distinct(tokens).alias("t")).filter(F.size("t") > 0)
-    each = sets.select("id", F.explode("t").alias("token"))
-    rare = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    placed = each.join(rare, "token").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
-    size = sets.select("id", F.size("t").alias("n"), "t")
-    kept = placed.join(size, "id").filter(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    a = kept.select(F.col("id").alias("left"), "token", F.col("t").alias("lt"), F.col("n").alias("ln"))
-    b = kept.select(F.col("id").alias("right"), "token", F.col("t").alias("rt"), F.col("n").alias("rn"))
-    near = a.join(b, "token").filter((F.col("left") < F.col("right")) & (F.col("ln") >= F.col("rn") * least) & (F.col("rn") >= F.col("ln") * least))
-    return near.withColumn("similarity", jaccard(F.col("lt"), F.col("rt"))).filter(F.col("similarity") >= least).select("left", "right", "similarity").distinct()
+    keys = docs.select(F.col(key).alias("id"), tokens.alias("t")).filter(F.size("t") > 0).select("id")
+    links = cut(similar_classes(docs, key, tokens, least))
+    copies = links.filter("similarity = 1").select(F.col("left").alias("head"), F.col("right").alias("id"))
+    of_class = copies.unionByName(keys.join(copies.select("id"), "id", "left_anti").select(F.col("id").alias("head"), "id"))
+    side = lambda p: of_class.select(F.col("head").alias(f"{p}head"), F.col("id").alias(f"{p}id"))
+    apart = links.filter("similarity < 1").join(side("a"), F.col("left") == F.col("ahead")).join(side("b"), F.col("right") == F.col("bhead"))
+    within = side("a").join(side("b"), F.col("ahead") == F.col("bhead")).filter("aid < bid").select("aid", "bid", F.lit(1.0).alias("similarity"))
+    return apart.select("aid", "bid", "similarity").unionByName(within).select(F.least("aid", "bid").alias("left"), F.greatest("aid", "bid").alias("right"), "similarity")
 
 
 def edges(flags: DataFrame, a: str, b: str, value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def hash_rank(seed: str, pool: str | Column, key: str) -> Column:
     pool = F.lit(pool) if isinstance(pool, str) else pool
@@ -39,27 +41,29 @@ def blinded(rows: DataFrame, seed: str, key: str, prefix: str = "H") -> DataFram
 def batches(rows: DataFrame, order: Sequence[str], size: int = 50) -> DataFrame:
     """rows with row_number and batch (from 1), by a global order.
 
-    Ranks within ranges are added to the number of rows before each range, so that no task sees all rows.
+    Rows are dealt out by ranges and numbered in each; the number of rows before a range is added, so that no task sees all
+    rows. Ranges are made from a sample, which another run of the same plan may draw otherwise: the numbered rows are
+    stored once, and both the rows and the ranges' sizes are read from there.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    own = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    before = own.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
-    got = own.join(F.broadcast(before), "__p")  # one row for each partition
-    at = (F.col("__b") + F.col("__r")).cast("long")
-    return got.withColumn("row_number", at).withColumn("batch", (F.floor((at - 1) / size) + 1).cast("long")).drop("__p", "__r", "__b")
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the number of a row within its partition in the low 33 bits, that of the partition above
+    own = cut(dealt.withColumn("__id", F.monotonically_increasing_id()))
+    own = own.withColumns({"__p": F.shiftright("__id", 33), "__r": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id")
+    sizes = own.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))
+    at = (F.col("__b") + F.col("__r") + 1).cast("long")
+    got = own.join(F.broadcast(before), "__p").withColumn("row_number", at)  # one row for each partition
+    return got.withColumn("batch", (F.floor((F.col("row_number") - 1) / size) + 1).cast("long")).drop("__p", "__r", "__b")
 
 
 def two_pool_quotas(have: tuple[int, int], target: int, base: tuple[int, int]) -> tuple[int, int]:
-    """How many to take of two pools; what one lacks the other gives."""
-    extra = target - sum(base)
-    want = (base[0] + (extra + 1) // 2, base[1] + extra // 2)
-    take = [min(h, w) for h, w in zip(have, want)]
-    lack = [w - t for w, t in zip(want, take)]
-    take = [min(have[i], take[i] + lack[1 - i]) for i in (0, 1)]
-    if sum(take) < target:
+    """How many to take of two pools: what the bases leave is halved, an odd one for the first; what one lacks the other gives."""
+    if sum(have) < target:
         raise ValueError("the pools hold too few records")
-    return take[0], take[1]
+    wanted = base[0] - (sum(base) - target) // 2
+    first = min(have[0], max(wanted, target - have[1]))
+    return first, target - first
 
 
 def boundary_quotas(have: dict[str, int], base: dict[str, int], target: int) -> dict[str, int]:
@@ -78,9 +82,8 @@ def pool_sizes(rows: DataFrame, pool: str) -> dict[str, int]:
     return {r[0]: r[1] for r in rows.groupBy(pool).count().collect()}
 
 
-def _take(rows: DataFrame, seed: str, pool: str, key: str, n: int, taken: DataFrame | None) -> DataFrame:
-    left = rows if taken is None else rows.join(taken.select(key), key, "left_anti")
-    return left.withColumn("component", F.lit(pool)).withColumn("pool_hash", hash_rank(seed, pool, key)).orderBy("pool_hash", key).limit(max(0, n))
+#: Pools of difficult comparisons in the order in which they are drawn from; the last one holds all.
+DIFFICULT = {"MISSING": "missing", "UNCERTAIN": "uncertain", "DISAGREE": "disagree", "DIFFICULT_FILL": "true"}
 
 
 def difficult(rows: DataFrame, seed: str, key: str, target: int = 40) -> DataFrame:
@@ -88,25 +91,31 @@ def difficult(rows: DataFrame, seed: str, key: str, target: int = 40) -> DataFra
 
     rows: key and booleans missing, uncertain, disagree. First up to a quarter of the target from those without
     abstract, the rest in halves from uncertain and disagreeing ones; what a pool lacks the other gives, and at last any.
+    A record is drawn once. One pass ranks all pools; of each only the first 2 * target rows can matter, as
+    at most target rows of it have been drawn for other pools.
     """
-    issues = rows.filter("uncertain or disagree")
-    chosen: DataFrame | None = None
-
-    def add(pool: DataFrame, name: str, n: int) -> int:
-        nonlocal chosen
-        got = _take(pool, seed, name, key, n, chosen).select(key, "component")
-        got = rows.sparkSession.createDataFrame(got.collect(), got.schema)  # at most the target's size
-        chosen = got if chosen is None else chosen.unionByName(got)
-        return got.count()
-
-    first = target // 4
-    lack = first - add(issues.filter("missing"), "MISSING", first)
-    u, d = (target - first) // 2 + (lack + 1) // 2, (target - first) - (target - first) // 2 + lack // 2
-    got_u, got_d = add(issues.filter("uncertain"), "UNCERTAIN", u), add(issues.filter("disagree"), "DISAGREE", d)
-    if got_u < u:
-        add(issues.filter("disagree"), "DISAGREE", u - got_u)
-    if got_d < d:
-        add(issues.filter("uncertain"), "UNCERTAIN", d - got_d)
-    if (short := target - chosen.count()) > 0:
-        add(issues, "DIFFICULT_FILL", short)
-    return chosen.limit(target)
+    of = F.array_compact(F.array(*(F.when(F.expr(f"coalesce({flag}, false)"), F.lit(pool)) for pool, flag in DIFFICULT.items())))
+    entered = rows.filter("uncertain or disagree").select(key, F.explode(of).alias("component"))
+    first = sample(entered, seed, "component", key, 2 * target)
+    queues = {pool: [] for pool in DIFFICULT}
+    for r in first.orderBy("component", "pool_rank").collect():
+        queues[r["component"]].append(r[key])
+    drawn = share_out(queues, target)
+    return rows.sparkSession.createDataFrame([(k, p) for k, p in drawn.items()], first.select(key, "component").schema)
+
+
+def share_out(queues: dict[str, list], target: int) -> dict:
+    """Pool for which each key is drawn, from the pools' ranked keys (see difficult)."""
+    drawn = dict.fromkeys(queues["MISSING"][: target // 4], "MISSING")
+    lacking = target // 4 - len(drawn)
+    uncertain, disagree = ([k for k in queues[p] if k not in drawn] for p in ("UNCERTAIN", "DISAGREE"))
+    half = (target - target // 4) // 2 + -(-lacking // 2)
+    other = target - len(drawn) - half
+    # what is in both pools counts as uncertain as far as that half goes
+    chosen = uncertain[:half]
+    left = [k for k in disagree if k not in set(chosen)]
+    more = left[: other + half - len(chosen)]
+    spare = [k for k in uncertain[half:] if k not in set(more)][: max(0, other - len(more))]
+    drawn |= dict.fromkeys(chosen, "UNCERTAIN") | dict.fromkeys(more, "DISAGREE") | dict.fromkeys(spare, "UNCERTAIN")
+    filling = [k for k in queues["DIFFICULT_FILL"] if k not in drawn][: target - len(drawn)]
+    return drawn | dict.fromkeys(filling, "DIFFICULT_FILL")

@@ -3,6 +3,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import agreement as A
@@ -128,6 +129,20 @@ def test_samples_don_t_depend_on_partitions(spark):
     assert rows(got.select("row_number", "batch"), "id") == [(i + 1, i // 50 + 1) for i in range(500)]
 
 
+def test_batches_of_many_rows_with_a_payload(spark):
+    df = spark.range(400_000).select(F.xxhash64("id").alias("id"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = M.batches(df.repartition(13), ["id"], 50)
+        n, low, high, order = got.agg(F.count_distinct("row_number"), F.min("row_number"), F.max("row_number"), F.corr(F.col("row_number").cast("double"), F.col("id").cast("double"))).first()
+        assert (n, low, high) == (400_000, 1, 400_000) and order > 0.99
+        falls = got.select("id", F.lag("id").over(Window.partitionBy("batch").orderBy("row_number")).alias("before")).filter("before > id")
+        assert falls.count() == 0 and got.groupBy("batch").count().filter("count <> 50").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_quotas():
     assert M.two_pool_quotas((100, 100), 40, (10, 10)) == (20, 20)
     assert M.two_pool_quotas((5, 100), 40, (10, 10)) == (5, 35)
@@ -143,6 +158,19 @@ def test_difficult_sample(spark):
     assert M.difficult(df.limit(4), "s", "id", 20).count() == df.limit(4).filter("uncertain or disagree").count()
 
 
+def test_sharing_out_difficult_records():
+    pools = ("MISSING", "UNCERTAIN", "DISAGREE", "DIFFICULT_FILL")
+    counted = lambda queues, n: [sum(p == q for p in M.share_out(dict(zip(pools, queues)), n).values()) for q in pools]
+    m, u, d = list(range(10)), list(range(100, 150)), list(range(200, 250))
+    assert counted((m, u, d, m + u + d), 40) == [10, 15, 15, 0]
+    assert counted((m[:3], u, d, m + u + d), 40) == [3, 19, 18, 0]  # seven more, the odd one uncertain
+    assert counted((m, u[:4], d, m + u + d), 40) == [10, 4, 26, 0] and counted((m, u, d[:4], m + u + d), 40) == [10, 26, 4, 0]
+    assert counted((m + u, u[:2], d[:2], m + u + d), 40) == [10, 2, 2, 26]
+    assert counted((m, u, u, m + u), 40) == [10, 15, 15, 0] and counted((m, u[:20], u[:20], m + u), 40) == [10, 15, 5, 10]
+    assert counted(([], [], [], []), 40) == [0, 0, 0, 0]
+    assert len(M.share_out(dict(zip(pools, (u, u, u, u))), 40)) == 40
+
+
 def test_corrections(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "id long, x string, n long")
     fix = lambda *r: spark.createDataFrame(list(r), "id long, field string, expected_old string, new_value string")

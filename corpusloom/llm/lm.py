@@ -9,7 +9,7 @@ product over all its ids, the end id included, so that texts of ids sum to one.
 Texts are encoded once and stored as ids. Ids and pairs of classes are counted over all training texts, and then every
 id of every training text is trained on once: each partition trains a copy of the model on all its windows, and
 the changes are averaged by the ids that each copy has seen. This is done twice, first on an eighth of the texts, from
-whose average the rest goes on. A partition with few ids goes over them several times.
+whose average the rest goes on. A small corpus is gone over several times.
 
 Texts are covered by overlapping windows of 2 * STRIDE ids; each window trains or scores its last STRIDE ids with the
 ids before them as context, so that every id counts once. Windows run through masked attention in batches.
@@ -33,9 +33,9 @@ from .common import stored, table
 from .pieces import model
 from .wordstore import blocks
 
-STRIDE = 16
+STRIDE = 8
 WIDTH = 2 * STRIDE
-DIMS = 16
+DIMS = 12
 #: Classes of ids, those of them that hold one id, and their groups (a power of two).
 CLASSES, SINGLE, GROUPS = 1024, 960, 64
 #: Classes that an id counts as when it stands before another, and those of them that hold one id; a text's begin is one more.
@@ -44,10 +44,12 @@ BEFORE, BEFORE_SINGLE = 256, 200
 SHIPPED, SHIPPED_WIDTH = 1 << 20, 64
 #: Rounds of training and the share of texts of the first, in eighths; steps' rates at their begin.
 FIRST_EIGHTHS, RATES = 1, (0.02, 0.01)
-#: Ids that are mixed and trained on at once, for which a copy with fewer goes over them again, so many times at most.
-COPY_IDS, PASSES = 1 << 22, 8
+#: Ids that are mixed and trained on at once, and ids after which a copy's rate has fallen to a quarter.
+MIXED_IDS, SLOWER_IDS = 1 << 20, 1 << 22
+#: A corpus of fewer ids is gone over several times, so many at most.
+LEAST_IDS, PASSES = 1 << 24, 8
 #: Windows in a step of training and of scoring, and windows that stay in a row when training mixes them.
-STEP, SCORED, ROW = 256, 128, 8
+STEP, SCORED, ROW = 512, 256, 16
 #: Text that a worker encodes at once, and ids that it scores at once, which bound its memory.
 ENCODED_BYTES, SCORED_IDS = 6 << 20, 1 << 21
 #: Scores over this count as this, which keeps exp in its range.
@@ -285,18 +287,18 @@ def score_ids(t: Trained, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out[full] + t.priors.inner[of_before[before.reshape(-1)[full]], t.classes.of_id[ids]] + t.classes.share[ids]
 
 
-def fit(t: Trained, texts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float, seed: int) -> tuple[int, Weights]:
+def fit(t: Trained, texts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float, seed: int, passes: int = 1) -> tuple[int, Weights]:
     """Number of ids, and weights after training on all of them; texts: pieces of a partition, as ids and where texts end."""
     w = {k: x.copy() for k, x in t.weights.items()}
     adam, rng, seen = Adam(w), np.random.default_rng(seed), 0
-    begin, group = len(t.classes.of_id), t.priors.group[t.classes.of_id]
+    begin, group = len(t.classes.of_id), t.priors.group[t.classes.of_id].astype(np.int16)
 
-    def go(parts: list[tuple[np.ndarray, np.ndarray]], passes: int) -> None:
+    def go(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         nonlocal seen
         shift = np.cumsum([0, *(len(i) for i, _ in parts)])
         ids = np.concatenate([i for i, _ in parts])
         before, after, opens = layout(ids, np.concatenate([e + a for (_, e), a in zip(parts, shift)]), begin)
-        goal = np.where(after >= 0, group[np.maximum(after, 0)], -1)
+        goal = np.where(after >= 0, group[np.maximum(after, 0)], np.int16(-1))
         n = len(before)
         for _ in range(passes):
             starts = rng.permutation(-(-n // ROW)) * ROW
@@ -310,18 +312,18 @@ def fit(t: Trained, texts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float,
                 new = opens[inside]
                 new[:, 0] = True
                 _, g, (names, rows) = gradients(w, t.priors.groups, t.classes.before, before[inside].reshape(-1, STRIDE), now.reshape(-1, STRIDE), new.reshape(-1))
-                adam.step(g, names, rows, rate / (1 + 3 * seen / COPY_IDS))
+                adam.step(g, names, rows, rate / (1 + 3 * seen / SLOWER_IDS))
                 seen += STEP * STRIDE
 
     held, size, total = [], 0, 0
     for ids, ends in texts:
         held.append((ids, ends))
         size, total = size + len(ids), total + len(ids)
-        if size >= COPY_IDS:
-            go(held, 1)
+        if size >= MIXED_IDS:
+            go(held)
             held, size = [], 0
     if size:
-        go(held, 1 if total > size else min(PASSES, -(-COPY_IDS // size)))
+        go(held)
     return total, w
 
 
@@ -450,7 +452,8 @@ def train(texts: DataFrame, model_path: str, ids: int) -> Trained:
             for x, _, _ in ids_of(b.column(0), kind):
                 total += np.bincount(x, minlength=ids)
 
-    classes = make_classes(_summed(column, count, ids).astype(np.float64))
+    seen = _summed(column, count, ids).astype(np.float64)
+    classes, passes = make_classes(seen), int(min(PASSES, max(1, -(-LEAST_IDS // max(1, seen.sum())))))
     across = int(classes.of_id.max()) + 1
 
     def pair(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
@@ -473,7 +476,7 @@ def train(texts: DataFrame, model_path: str, ids: int) -> Trained:
             from pyspark import TaskContext
 
             own = pickle.loads(sent.value)
-            n, w = fit(own, (x[:2] for b in batches for x in ids_of(b.column(0), kind)), rate, TaskContext.get().partitionId())
+            n, w = fit(own, (x[:2] for b in batches for x in ids_of(b.column(0), kind)), rate, TaskContext.get().partitionId(), passes)
             if n:
                 moved = [(starts[k] + at, (x.ravel()[at].astype(np.float64) - own.weights[k].ravel()[at])) for k, x in w.items() if len(at := np.flatnonzero(x.ravel() != own.weights[k].ravel()))]
                 # whole numbers, so that no order of adding makes a difference; place -1 has the ids seen

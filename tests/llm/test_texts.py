@@ -292,7 +292,7 @@ def toy(ids=70, seed=1, texts=60):
         for b, a in zip([ids, *t[:-1]], t):
             pairs[classes.before[b], classes.of_id[a]] += 1
     model = lm.Trained("", classes, lm.make_priors(pairs), lm.new_weights(ids, seed))
-    seen, w = lm.fit(model, iter([(x, ends)]), 0.02, 0)
+    seen, w = lm.fit(model, iter([(x, ends)]), 0.02, 0, 8)
     assert seen == len(x)
     return model._replace(weights=w), x, ends
 
@@ -363,7 +363,7 @@ def test_probabilities_of_all_ids_sum_to_one():
 def test_training_meets_every_id_and_learns(monkeypatch):
     t, x, ends = toy()
     met, real = [], lm.gradients
-    monkeypatch.setattr(lm, "COPY_IDS", 500)  # several pieces, each gone over once
+    monkeypatch.setattr(lm, "MIXED_IDS", 500)  # several pieces
 
     def counted(w, prior, of_before, before, goal, opens):
         met.extend(goal[goal >= 0].tolist())

@@ -176,8 +176,7 @@ def test_induced_wrapper_keeps_what_varies(spark):
     want = lambda i: f"Title {i} & more\nFirst paragraph number {i} says this and on\nSecond {i * 7} bold end\none\ntwo"
     rows = [(i, f"http://h.com/{i}", page(i)) for i in range(5)]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
-    # the list and the bold word are the same on every page of the site and so are template without a marked article
-    assert [r["text"] for r in got] == [want(i).replace("\none\ntwo", "").replace("bold ", "") for i in range(5)]
+    assert [r["text"] for r in got] == [want(i) for i in range(5)]
     marked = [(i, u, h.replace('<div class="story">', "<article>").replace("</div></div>", "</article></div>")) for i, u, h in rows]
     got = html_text.extract_text(spark.createDataFrame(marked, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert [r["text"] for r in got] == [want(i) for i in range(5)] and [r["n_chars"] for r in got] == [len(want(i)) for i in range(5)]
@@ -227,6 +226,38 @@ def test_hostile_pages():
     html_text.main_text("</" * 50000 + "<script>" * 3000, ["<b>" * 3000])
 
 
+def test_the_wrapper_decides(spark):
+    # nothing is named or marked: menu, notice and foot differ from page to page less than the text does
+    lines = lambda i, k: [f"Line {j} of text {i} goes on and on" for j in range(k)]
+    page = lambda i: f"<body><div class=a><a href=x>Go {i}</a><a href=y>Stay {i}</a></div><div class=b>Seen {i} times</div><div class=c><h2>Head {i}</h2><div class=d>{''.join(f'<p>{x}</p>' for x in lines(i, 3 + i % 3))}<p>Written by the staff</p></div></div><div class=e>All rights of {i}</div></body>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(14)]
+    got = extracted(spark, rows)
+    assert [got[i] for i in range(14)] == ["\n".join([f"Head {i}", *lines(i, 3 + i % 3)]) for i in range(14)]
+    # without other pages all of it is one text
+    alone = extracted(spark, [(0, "http://alone/", page(0))])[0].split("\n")
+    assert alone[0] == "Go 0Stay 0" and alone[-1] == "All rights of 0" and "Written by the staff" in alone
+    # copies of the page say nothing either
+    assert extracted(spark, [(i, "http://alone/", page(0)) for i in range(12)])[5].split("\n") == alone
+
+
+def test_names_that_mean_something_else():
+    text = lambda names: html_text.main_text(f"<article><p>One</p><div class='{names}'>Two</div><p>Three</p></article>")
+    assert {n: "Two" in text(n) for n in ("social history", "form-of-verse", "notice-board", "ad", "ad-box x7", "post-comments", "sidebar left", "cookie_notice", "relatedPosts")} == {
+        "social history": True, "form-of-verse": True, "notice-board": True, "ad": False, "ad-box x7": False, "post-comments": False, "sidebar left": False, "cookie_notice": False, "relatedPosts": False,
+    }
+    # but an element with such a name that every page has is no part of the text
+    page = lambda i: f"<article><p>One {i} more</p><p>Of the text {i * 31}</p><div class='social history'>Like {i}</div></article>"
+    assert html_text.main_text(page(0), [page(i) for i in range(1, 12)]) == "One 0 more\nOf the text 0"
+
+
+def test_deep_and_wide_pages():
+    deep = lambda i: "<div>" * 3000 + f"<p>Text {i}</p><div class=ad>no</div>" + "</div>" * 3000 + "<footer>f</footer>"
+    assert html_text.main_text(deep(1)) == html_text.main_text(deep(1), [deep(2)]) == "Text 1"
+    wide = lambda i: "<div class=m>" + "".join(f"<p>{'same' if j % 2 else i * 10**6 + j}</p>" for j in range(2500 + i)) + "</div><div class=foot>same foot</div>"
+    got = html_text.main_text(wide(1), [wide(2)]).split("\n")
+    assert len(got) == 2501 and "same foot" not in got
+
+
 def slow_match(a, b):
     """Simple tree matching as it is defined."""
     if a[0] != b[0]:
@@ -241,18 +272,76 @@ def slow_match(a, b):
 trees = st.recursive(st.tuples(st.sampled_from("pq"), st.just(())), lambda t: st.tuples(st.sampled_from("pqr"), st.lists(t, max_size=4).map(tuple)), max_leaves=10)
 
 
-def as_nodes(t, parent=None):
-    n = html_text.Node(t[0], parent)
-    n.children = [as_nodes(c, n) for c in t[1]]
-    n.size = 1 + sum(c.size for c in n.children)
-    return n
+def as_skeleton(t):
+    key, parent = [], []
+
+    def add(n, up):
+        key.append(ord(n[0]))
+        parent.append(up)
+        me = len(key) - 1
+        for c in n[1]:
+            add(c, me)
+
+    add(t, -1)
+    n = len(key)
+    return html_text.Skeleton(np.array(key), np.array(parent), np.arange(n) % 3, np.ones(n, int), np.ones(n, np.int8))
 
 
+@pytest.mark.parametrize("cells", [1 << 21, 2])  # 2: lists of siblings are aligned in halves
 @settings(max_examples=150, deadline=None)
-@given(trees, trees)
-def test_tree_matching(a, b):
-    pairs = []
-    assert html_text.match(as_nodes(a), as_nodes(b), pairs) == slow_match(a, b) == len(pairs)
+@given(a=trees, b=trees)
+def test_tree_matching(cells, a, b):
+    kept, html_text.CELLS = html_text.CELLS, cells
+    try:
+        x, y = as_skeleton(a), as_skeleton(b)
+        pairs = list(html_text.Matching(x, y).pairs())
+        assert html_text.Matching(x, y).best(0, 0) == slow_match(a, b) == len(pairs)
+        at = dict(pairs)
+        assert len(set(at.values())) == len(at) == len(pairs)
+        assert all(i == 0 or at.get(x.parent[i]) == y.parent[j] for i, j in pairs) and [at[i] for i in sorted(at)] == sorted(at.values())
+    finally:
+        html_text.CELLS = kept
+
+
+def slow_text(pages, i):
+    """The wrapper by definition on pages of one layout that are a flat list of (class, text) blocks in a body, with different classes."""
+    reference = min(range(len(pages)), key=lambda k: pages[k][0])
+    told, same, mass = collections.Counter(), collections.Counter(), collections.Counter()
+    voted = 0
+    for k, (_, blocks) in enumerate(pages):
+        if k == reference:
+            continue
+        other = dict(pages[reference][1])
+        agreed = sum(len(t) for c, t in blocks if other.get(c) == t)
+        if agreed > 0.8 * sum(len(t) for _, t in blocks):
+            continue
+        voted += 1
+        for c, t in blocks:
+            told[c] += c in other
+            same[c] += other.get(c) == t
+            mass[c if c in other else ""] += other.get(c) != t and len(t)
+    template = {c for c in told if told[c] >= 8 and same[c] >= 0.5 * told[c]}
+    kept = [t for c, t in pages[i][1] if not (sum(mass.values()) and c in template and c in dict(pages[reference][1]))]
+    return "\n".join(kept or [t for _, t in pages[i][1]])
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.dictionaries(st.sampled_from("klmnop"), st.sampled_from(["x", "y", "a longer text", "another one"]), min_size=1), min_size=1, max_size=16))
+def test_extraction_against_brute_force(spark, kinds):
+    built = [sorted(k.items()) for k in kinds]
+    html = ["<body>" + "".join(f"<p class={c}>{t}</p>" for c, t in b) + "</body>" for b in built]
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    hashes = {r["page_id"]: r["h"] for r in df.select("page_id", F.xxhash64("html").alias("h")).collect()}
+    pages = [(hashes[i], b) for i, b in enumerate(built)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    # copies of the reference say nothing: they are no pages of their own
+    least = min(hashes.values())
+    seen, unique = False, []
+    for h, b in pages:
+        if h != least or not seen:
+            unique.append((h, b))
+        seen |= h == least
+    assert got == {i: slow_text(unique, [u for u, _ in unique].index(h)) for i, (h, b) in enumerate(pages)}
 
 
 # -- pipeline ------------------------------------------------------------------------------------------------------

@@ -50,8 +50,8 @@ MIXED_IDS, SLOWER_IDS = 1 << 20, 1 << 22
 LEAST_IDS, PASSES = 1 << 24, 8
 #: Windows in a step of training and of scoring, and windows that stay in a row when training mixes them.
 STEP, SCORED, ROW = 512, 256, 16
-#: Text that a worker encodes at once, and ids that it scores at once, which bound its memory.
-ENCODED_BYTES, SCORED_IDS = 6 << 20, 1 << 21
+#: Text that a worker encodes at once, and ids that it counts or scores at once, which bound its memory.
+ENCODED_BYTES, AT_ONCE = 6 << 20, 1 << 20
 #: Scores over this count as this, which keeps exp in its range.
 HIGHEST = np.float32(60)
 
@@ -412,7 +412,7 @@ def encoded(docs: DataFrame, often: pa.Table, model_path: str) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, ids binary, w string")
 
 
-def ids_of(column: pa.Array, kind: str, most: int = 1 << 62) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+def ids_of(column: pa.Array, kind: str, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
     """Ids of stored texts, where each text ends among them, and which rows they are; at most about ``most`` ids together."""
     raw = pc.binary_join_element_wise(column, pa.scalar(b""), pa.scalar(b"")) if column.null_count else column
     cuts = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
@@ -449,7 +449,7 @@ def train(texts: DataFrame, model_path: str, ids: int) -> Trained:
 
     def count(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
         for b in batches:
-            for x, _, _ in ids_of(b.column(0), kind):
+            for x, _, _ in ids_of(b.column(0), kind, AT_ONCE):
                 total += np.bincount(x, minlength=ids)
 
     seen = _summed(column, count, ids).astype(np.float64)
@@ -458,7 +458,7 @@ def train(texts: DataFrame, model_path: str, ids: int) -> Trained:
 
     def pair(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
         for b in batches:
-            for x, ends, _ in ids_of(b.column(0), kind):
+            for x, ends, _ in ids_of(b.column(0), kind, AT_ONCE):
                 before = np.empty(len(x), np.int64)
                 before[1:] = classes.before[x[:-1]]
                 before[np.concatenate([[0], ends[:-1]])] = BEFORE
@@ -476,7 +476,7 @@ def train(texts: DataFrame, model_path: str, ids: int) -> Trained:
             from pyspark import TaskContext
 
             own = pickle.loads(sent.value)
-            n, w = fit(own, (x[:2] for b in batches for x in ids_of(b.column(0), kind)), rate, TaskContext.get().partitionId(), passes)
+            n, w = fit(own, (x[:2] for b in batches for x in ids_of(b.column(0), kind, MIXED_IDS)), rate, TaskContext.get().partitionId(), passes)
             if n:
                 moved = [(starts[k] + at, (x.ravel()[at].astype(np.float64) - own.weights[k].ravel()[at])) for k, x in w.items() if len(at := np.flatnonzero(x.ravel() != own.weights[k].ravel()))]
                 # whole numbers, so that no order of adding makes a difference; place -1 has the ids seen
@@ -521,7 +521,7 @@ def score_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pickle.loads(sent.value)
         for b in batches:
-            for x, ends, rows in ids_of(b.column(len(kept)), kind, SCORED_IDS):
+            for x, ends, rows in ids_of(b.column(len(kept)), kind, AT_ONCE):
                 sizes = np.diff(ends, prepend=0)
                 score = np.add.reduceat(score_ids(t, x, ends), ends - sizes) / math.log(10)
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(rows.start, rows.stop - rows.start) for i in range(len(kept))), pa.array(sizes), pa.array(score)], names=[*kept, "n_ids", "score"])

@@ -1,15 +1,18 @@
 """Exact top-k by inner product: columnar branch-and-bound over integer vectors.
 
-Candidates lie in vertical layout, one row for each dimension. Scores grow block of dimensions by block of dimensions; what is
-left of a score is at most the product of the remaining lengths of both vectors. A candidate whose partial score plus
-that bound stays under the k-th best score known for a query is dropped, and the surviving columns are moved together
-before the next block.
+Candidates lie in vertical layout, one row for each dimension, those dimensions first that hold most of their mass. Scores grow
+block of dimensions by block of dimensions; what is left of a score is at most the product of the remaining lengths of
+both vectors. A candidate whose partial score plus that bound stays under the k-th best score that a query has so far is
+dropped for that query. While most pairs live, a block is one matrix product; once fewer do, the survivors of each query
+are moved together and only they go on. Candidates come longest first in slices, so that the first ones give
+high thresholds, and a query is through with a block of candidates when the longest that are left can't reach its threshold.
 
 Work is a grid: blocks of queries by blocks of candidates, each of bounded size, dealt out by their pair of numbers.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,57 +20,93 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import executor_cores, stored, table
 
-#: Rows of a block of queries or candidates.
-QUERY_ROWS = 1024
-CANDIDATE_ROWS = 16384
-#: Dimensions added at once, and queries whose partial scores are held at once.
-STEP = 16
-BATCH = 64
+#: Rows of a block of queries or candidates. A row is sent once for each block of the other side.
+QUERY_ROWS = 4096
+CANDIDATE_ROWS = 32768
+#: Dimensions added at once, queries and candidates whose partial scores are held at once, and candidates of the first slice.
+STEP = 8
+BATCH, SLICE, FIRST = 64, 4096, 512
+#: Survivors of a query are moved together once they are fewer than this share.
+COMPACT = 0.4
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Kind in which all inner products and their bounds are exact: float64 below 2**52, else Python's integers."""
+    """Kind in which all inner products are exact: float32 below 2**24, float64 below 2**52, else Python's integers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    return np.float64 if most < 2.0**52 else object
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**52 else object
 
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _lengths(rows: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """(rows, cuts): length of what each row has from each cut on."""
+    squares = rows.astype(np.float64) ** 2
+    return np.sqrt(np.stack([squares[:, c:].sum(1) for c in cuts], 1))
+
+
+def block_top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, told: Counter | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its k best candidates of one block: (place of the query, ids, scores).
 
-    Order: higher score, then smaller id; a query's own id takes no part. Bounds are kept half a unit loose for the
-    rounding of square roots.
+    Order: higher score, then smaller id; a query's own id takes no part. Bounds are kept loose by more than the
+    rounding of square roots. told: gets numbers of pairs, of those that went on after each block of dimensions, and of those that a
+    length alone ruled out.
     """
-    kind = _exact(q, x)
-    q, columns = q.astype(kind), np.ascontiguousarray(x.T.astype(kind))
-    dims = q.shape[1]
-    cuts = list(range(0, dims, STEP)) + [dims]
-    rest_q = np.stack([np.sqrt((q[:, c:].astype(np.float64) ** 2).sum(1)) for c in cuts[1:]], 1) if dims else np.zeros((len(q), 1))
-    rest_x = np.stack([np.sqrt((columns[c:].astype(np.float64) ** 2).sum(0)) for c in cuts[1:]], 0) if dims else np.zeros((1, len(x)))
-    # candidates that are long are likely to score high: they give the first threshold
-    first = np.argsort(-(columns.astype(np.float64) ** 2).sum(0), kind="stable")[: max(4 * k, 256)]
+    kind, told = _exact(q, x), Counter() if told is None else told
+    near = np.float32 if kind is np.float32 else np.float64
+    dims = np.argsort(-(x.astype(np.float64) ** 2).sum(0), kind="stable")
+    cuts = [*range(0, len(dims), STEP), len(dims)]
+    x, q = x[:, dims], q[:, dims]
+    rest_x, rest_q = _lengths(x, cuts), _lengths(q, cuts).astype(near)
+    longest = np.argsort(-rest_x[:, 0], kind="stable")
+    x_ids, rest_x, q = x_ids[longest], np.ascontiguousarray(rest_x[longest].T.astype(near)), q.astype(kind)
+    columns = np.ascontiguousarray(x[longest].T.astype(kind))
+    starts = [*range(0, min(FIRST, len(x)), FIRST), *range(FIRST, len(x), SLICE)]
     for at in range(0, len(q), BATCH):
-        qs, qi = q[at : at + BATCH], q_ids[at : at + BATCH]
-        known = (qs @ columns[:, first]).astype(np.float64)
-        known[qi[:, None] == x_ids[first][None, :]] = -np.inf
-        floor = np.partition(known, -k, 1)[:, -k] if known.shape[1] >= k else np.full(len(qs), -np.inf)
-        alive = np.arange(len(x))
-        part = np.zeros((len(qs), len(x)), kind)
-        held = columns
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            part = part + qs[:, a:b] @ held[a:b]
-            if b == dims:
-                break
-            bound = part.astype(np.float64) + rest_q[at : at + BATCH, i, None] * rest_x[i][alive][None, :] + 0.5
-            keep = (bound >= floor[:, None]).any(0)
-            if keep.mean() < 0.7:
-                alive, part, held = alive[keep], part[:, keep], held[:, keep]
-        ids = x_ids[alive]
-        for r in range(len(qs)):
-            ok = np.flatnonzero((part[r].astype(np.float64) >= floor[r]) & (ids != qi[r]))
-            order = np.lexsort((ids[ok], [-s for s in part[r, ok]] if kind is object else -part[r, ok]))[:k]
-            yield at + r, ids[ok][order], part[r, ok][order]
+        qs, own, rq = q[at : at + BATCH], q_ids[at : at + BATCH], rest_q[at : at + BATCH]
+        floor = np.full(len(qs), -np.inf, near)
+        ids, scores = [np.zeros(0, np.int64)] * len(qs), [np.zeros(0, kind)] * len(qs)
+        for begin, end in zip(starts, [*starts[1:], len(x)]):
+            rx, held, names = rest_x[:, begin:end], columns[:, begin:end], x_ids[begin:end]
+            low = floor - 1 - near(1e-6) * rq[:, 0] * rx[0].max()
+            open_ = np.flatnonzero(rq[:, 0] * rx[0, 0] >= low)
+            told["pairs"] += len(qs) * len(names)
+            told["by length"] += (len(qs) - len(open_)) * len(names)
+            if not len(open_):
+                continue
+            # while most pairs live, all scores of the open queries; then each query's survivors
+            part, live, done = np.zeros((len(open_), len(names)), kind), None, 0
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
+                part += qs[open_, a:b] @ held[a:b]
+                done = i
+                if i > 1 and np.isfinite(low[open_]).all():
+                    live = part.astype(near, copy=False) + rq[open_, i, None] * rx[i] >= low[open_, None]
+                    told[f"after {b}"] += (alive := int(np.count_nonzero(live)))
+                    if alive < COMPACT * live.size:
+                        told["compacted"] += len(open_)
+                        break
+            for j, r in enumerate(open_.tolist()):
+                at_, p = (np.arange(len(names)), part[j]) if live is None else ((c := np.flatnonzero(live[j])), part[j, c])
+                for i in range(done + 1, len(cuts)):
+                    if not len(at_):
+                        break
+                    a, b = cuts[i - 1], cuts[i]
+                    p = p + qs[r, a:b] @ held[a:b].take(at_, axis=1)
+                    keep = p.astype(near, copy=False) + rq[r, i] * rx[i].take(at_) >= low[r]
+                    told[f"after {b}"] += (alive := int(np.count_nonzero(keep)))
+                    if alive < len(at_):
+                        at_, p = at_[keep], p[keep]
+                found = names[at_]
+                other = found != own[r]
+                found, p = np.concatenate([ids[r], found[other]]), np.concatenate([scores[r], p[other]])
+                if kind is not object and len(p) > 4 * k:
+                    best = p >= np.partition(p, -k)[-k]
+                    found, p = found[best], p[best]
+                order = np.lexsort((found, [-x for x in p] if kind is object else -p))[:k]
+                ids[r], scores[r] = found[order], p[order]
+                if len(order) == k:
+                    floor[r] = scores[r][-1]
+        for i in range(len(qs)):
+            yield at + i, ids[i], scores[i]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "vector", query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
@@ -82,12 +121,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "ve
     x, q = pick(vectors), pick(queries)
     sizes = x.agg(F.count("*")).crossJoin(q.agg(F.count("*"))).first()
     nx, nq = (max(1, -(-n // m)) for n, m in zip(sizes, (candidate_rows, query_rows)))
-    salt = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    # few blocks are made smaller, so that every core has one
+    nq = max(nq, min(-(-executor_cores(vectors.sparkSession) // nx), -(-sizes[1] // BATCH)))
     grid = lambda n: F.explode(F.array(*(F.lit(i) for i in range(n)))) if n <= 64 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spread = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(nx)).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     # copies of a row go to different blocks by their place; blocks are only a way to deal work out
-    xs = x.withColumn("bx", spread).withColumn("bq", grid(nq)).select("bq", "bx", F.lit(False).alias("is_q"), "id", "v")
-    qs = q.withColumn("bq", salt(nq)).withColumn("bx", grid(nx)).select("bq", "bx", F.lit(True).alias("is_q"), "id", "v")
+    xs = x.withColumn("bx", spread(nx)).withColumn("bq", grid(nq)).select("bq", "bx", F.lit(False).alias("is_q"), "id", "v")
+    qs = q.withColumn("bq", spread(nq)).withColumn("bx", grid(nx)).select("bq", "bx", F.lit(True).alias("is_q"), "id", "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []

@@ -123,6 +123,32 @@ def test_top_k(spark, scale, sizes):
     assert sorted(map(tuple, got.collect())) == sorted(slow_top(rows, [r for r in rows if r[0] % 20 == 0], 7))
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_survivors_are_moved_together(clustered):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    if clustered:
+        x += 3 * rng.standard_normal((20, 64))[rng.integers(0, 20, 3000)]
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    told, ids = collections.Counter(), np.arange(3000)
+    got = {i: (who.tolist(), score.tolist()) for i, who, score in topk.block_top(ids[:100], x[:100], ids, x, 20, told)}
+    scores = x[:100] @ x.T
+    for i in range(100):
+        scores[i, i] = -(10**9)
+        order = np.lexsort((ids, -scores[i]))[:20]
+        assert got[i] == (order.tolist(), scores[i, order].tolist())
+    assert told["compacted"] > 0 and told["pairs"] == 100 * 3000
+    alive = [told[f"after {d}"] for d in range(16, 65, 8)]
+    assert alive == sorted(alive, reverse=True) and alive[-2] < 0.3 * told["pairs"] and (not clustered or alive[2] < 0.5 * told["pairs"])
+
+
+def test_lengths_alone_rule_out():
+    x = np.concatenate([np.full((600, 16), 50), np.full((9000, 16), 1)])
+    told = collections.Counter()
+    list(topk.block_top(np.array([-1]), np.full((1, 16), 3), np.arange(len(x)), x, 5, told))
+    assert told["by length"] >= 4096
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, vector array<long>")
     assert topk.top_k(df, df).count() == 0

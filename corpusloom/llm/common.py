@@ -73,5 +73,18 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def hand_back() -> None:
+    """Gives a worker's freed memory back to the machine, as workers live on after a task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def executor_cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)

@@ -17,6 +17,7 @@ ids before them as context, so that every id counts once. Windows run through ma
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import zlib
@@ -26,10 +27,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import hand_back, stored, table
 from .pieces import model
 from .wordstore import blocks
 
@@ -40,8 +41,8 @@ DIMS = 12
 CLASSES, SINGLE, GROUPS = 1024, 960, 64
 #: Classes that an id counts as when it stands before another, and those of them that hold one id; a text's begin is one more.
 BEFORE, BEFORE_SINGLE = 256, 200
-#: Words that make up at least one in SHIPPED of all tokens go to every task: so many at most, each of at most SHIPPED_WIDTH bytes.
-SHIPPED, SHIPPED_WIDTH = 1 << 20, 64
+#: Words that make up at least one in SHIPPED of all tokens go to every task: so many at most. Words of more than LONG bytes are counted by their digest.
+SHIPPED, LONG = 1 << 20, 64
 #: Rounds of training and the share of texts of the first, in eighths; steps' rates at their begin.
 FIRST_EIGHTHS, RATES = 1, (0.02, 0.01)
 #: Ids that are mixed and trained on at once, and ids after which a copy's rate has fallen to a quarter.
@@ -349,6 +350,14 @@ def _docs(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def keyed(words: pa.Array) -> pa.Array:
+    """Words, long ones as a space, which no word has, and their SHA-256."""
+    many = pc.fill_null(pc.greater(pc.binary_length(words), LONG), False).to_numpy(zero_copy_only=False)
+    if not many.any():
+        return words
+    return pa.array([" " + hashlib.sha256(w.encode()).hexdigest() if k else w for w, k in zip(words.to_pylist(), many.tolist())], pa.string())
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """Rows (w, c) over the training documents; the empty word stands for the ends of texts."""
 
@@ -358,7 +367,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 train = pa.array([not held_out(d) for d in b.column(0).to_pylist()])
                 texts = b.column(1).filter(train)
                 got = pc.value_counts(split_words(texts).values)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([got.field(0), pa.array([""])]), pa.concat_arrays([got.field(1), pa.array([len(texts)], pa.int64())])], names=["w", "c"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([keyed(got.field(0)), pa.array([""])]), pa.concat_arrays([got.field(1), pa.array([len(texts)], pa.int64())])], names=["w", "c"])
 
     return docs.mapInArrow(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0")
 
@@ -368,7 +377,7 @@ def id_kind(ids: int) -> str:
 
 
 def encoded(docs: DataFrame, often: pa.Table, model_path: str) -> DataFrame:
-    """One row for each text, with its ids, and rows (row, w) for its words that aren't among those shipped.
+    """One row for each text, with its ids, and rows (row, held_out, w) for its words that aren't among those shipped.
 
     known and base are of the words that are: how many, and the sum of log10(count + 0.1).
     """
@@ -389,7 +398,8 @@ def encoded(docs: DataFrame, often: pa.Table, model_path: str) -> DataFrame:
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 coded = lists.values.dictionary_encode()
                 codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-                spot = pc.fill_null(pc.index_in(names, value_set=listed), -1).to_numpy(zero_copy_only=False)
+                known = keyed(names)
+                spot = pc.fill_null(pc.index_in(known, value_set=listed), -1).to_numpy(zero_copy_only=False)
                 ids, stops, _ = m.bare.encode_coded(names.to_pylist(), codes)
                 stops = np.concatenate([[0], stops])[offsets]
                 # the end of a text is a word like others, at the place of the empty word
@@ -397,17 +407,19 @@ def encoded(docs: DataFrame, often: pa.Table, model_path: str) -> DataFrame:
                 words = np.diff(offsets) + 1
                 last = np.cumsum(words)
                 each = lambda x: np.add.reduceat(x, last - words)
-                row = next_row + np.arange(n)
+                row, held = next_row + np.arange(n), np.array([held_out(d) for d in b.column(0).to_pylist()], bool)
                 next_row += n
                 ended = np.insert(ids, stops[1:], m.end).astype(kind)
                 cuts = (stops + np.arange(n + 1)) * ended.itemsize
                 binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(ended.tobytes())])
                 none = lambda k, kind: pa.nulls(k, kind)
-                yield pa.RecordBatch.from_pydict({"row": row, "doc_id": b.column(0), "held_out": pa.array([held_out(d) for d in b.column(0).to_pylist()]), "n_tokens": words, "known": each((at >= 0).astype(np.int64)), "base": each(np.where(at >= 0, logs[at], 0.0)), "ids": binary, "w": none(n, pa.string())})
+                yield pa.RecordBatch.from_pydict({"row": row, "doc_id": b.column(0), "held_out": pa.array(held), "n_tokens": words, "known": each((at >= 0).astype(np.int64)), "base": each(np.where(at >= 0, logs[at], 0.0)), "ids": binary, "w": none(n, pa.string())})
                 rare = np.flatnonzero(at < 0)
                 if k := len(rare):
-                    spelt = pa.concat_arrays([names, pa.array([""])]).take(pa.array(np.insert(codes, offsets[1:], len(names))[rare]))
-                    yield pa.RecordBatch.from_pydict({"row": np.repeat(row, words)[rare], "doc_id": none(k, pa.int64()), "held_out": none(k, pa.bool_()), "n_tokens": none(k, pa.int64()), "known": none(k, pa.int64()), "base": none(k, pa.float64()), "ids": none(k, pa.binary()), "w": spelt})
+                    spelt = pa.concat_arrays([known, pa.array([""])]).take(pa.array(np.insert(codes, offsets[1:], len(names))[rare]))
+                    yield pa.RecordBatch.from_pydict({"row": np.repeat(row, words)[rare], "doc_id": none(k, pa.int64()), "held_out": pa.array(np.repeat(held, words)[rare]), "n_tokens": none(k, pa.int64()), "known": none(k, pa.int64()), "base": none(k, pa.float64()), "ids": none(k, pa.binary()), "w": spelt})
+        m.bare.clear()
+        hand_back()
 
     return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, ids binary, w string")
 
@@ -477,6 +489,7 @@ def train(texts: DataFrame, model_path: str, ids: int) -> Trained:
 
             own = pickle.loads(sent.value)
             n, w = fit(own, (x[:2] for b in batches for x in ids_of(b.column(0), kind, MIXED_IDS)), rate, TaskContext.get().partitionId(), passes)
+            hand_back()
             if n:
                 moved = [(starts[k] + at, (x.ravel()[at].astype(np.float64) - own.weights[k].ravel()[at])) for k, x in w.items() if len(at := np.flatnonzero(x.ravel() != own.weights[k].ravel()))]
                 # whole numbers, so that no order of adding makes a difference; place -1 has the ids seen
@@ -503,14 +516,14 @@ def score_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id
     subword ids, with the end. Texts that differ in white space, the case of A-Z or a word mark (U+2581) alone have the same
     ids. A null or empty text is its end alone; a null id counts as held out. Rows that share an id are scored
     apart. Other columns are passed over. An empty table gives an empty table; without training documents the model is
-    its random start. Words that make up less than one in ``shipped`` of the training tokens get their counts by a
-    join, in which by that bound none is frequent.
+    its random start. Words that make up less than one in ``shipped`` of the training tokens are counted by a window
+    over their places, in which by that bound none is frequent.
     """
     spark = documents.sparkSession
     docs = _docs(documents, doc_id, text)
     counts = stored(word_counts(docs), "wordcounts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    often = counts.filter((F.col("c") * shipped >= n) & (F.octet_length("w") <= SHIPPED_WIDTH))
+    often = counts.filter(F.col("c") * shipped >= n)
     made = stored(encoded(docs, often.toArrow().combine_chunks(), model_path), "encoded")
     texts = made.filter("w is null").drop("w")
     ids = len(model(model_path).widths)
@@ -527,11 +540,10 @@ def score_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(rows.start, rows.stop - rows.start) for i in range(len(kept))), pa.array(sizes), pa.array(score)], names=[*kept, "n_ids", "score"])
 
     heads = texts.select(*kept, "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, n_ids long, score double")
-    seldom = counts.filter((F.col("c") * shipped < n) | (F.octet_length("w") > SHIPPED_WIDTH)).withColumnRenamed("w", "word")
-    c = F.coalesce("c", F.lit(0))
-    rare = made.filter("w is not null").select(F.col("row").alias("r"), "w")
-    part = rare.join(seldom, rare["w"] == seldom["word"], "left")
-    sums = part.groupBy("r").agg(F.sum(F.log10(c + 0.1)).alias("b"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("k"))
+    # every place of such a word is here, so that its training count is that of its rows
+    rare = made.filter("w is not null").select(F.col("row").alias("r"), "w", F.when(F.col("held_out"), 0).otherwise(1).alias("t"))
+    counted = rare.withColumn("c", F.sum("t").over(Window.partitionBy("w")))
+    sums = counted.groupBy("r").agg(F.sum(F.log10(F.col("c") + 0.1)).alias("b"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("k"))
     out = heads.join(sums, heads["row"] == sums["r"], "left")
     whole = math.log10(n + 0.1 * (v + 1))
     plus = lambda a, x: F.col(a) + F.coalesce(x, F.lit(0))

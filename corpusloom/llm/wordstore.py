@@ -23,9 +23,9 @@ class WordStore:
 
     def __init__(self, encode_new: Callable[[list[str]], list[list[int]]], kept: int = KEPT_WORDS):
         self.encode_new, self.most = encode_new, kept
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
@@ -41,7 +41,7 @@ class WordStore:
         if not new:
             return np.array(found, np.int64)
         if len(self.slots) + len(new) > self.most and self.slots:
-            self._clear()
+            self.clear()
             new, found = words, [-1] * len(words)
         at, ids = len(self.slots), self.encode_new(new)
         sizes = np.fromiter(map(len, ids), np.int32, len(new))

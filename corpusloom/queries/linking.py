@@ -34,10 +34,8 @@ def stable_family_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(K.set_id("S-", F.collect_set("lang")).alias("set_id"))
 
 
-_SETS = r"""WITH RECURSIVE sets AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> ''))) AS t FROM documents WHERE text IS NOT NULL),
-class AS (SELECT t, min(doc_id) AS id FROM sets WHERE len(t) > 0 GROUP BY t), s AS (SELECT id, len(t) AS n, unnest(t) AS w FROM class),
-c AS (SELECT a.id AS l, b.id AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS k FROM s a JOIN s b ON a.w = b.w AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2),
-pairs AS (SELECT l, r, k / (ln + rn - k)::DOUBLE AS similarity FROM c WHERE k / (ln + rn - k)::DOUBLE >= 0.8 UNION ALL SELECT id, doc_id, 1.0 FROM sets JOIN class USING (t) WHERE id <> doc_id)"""
+_SETS = r"""WITH words AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), s AS (SELECT doc_id, w FROM words WHERE w <> ''), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS k FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2), pairs AS (SELECT l, r, k / (x.n + y.n - k)::DOUBLE AS similarity FROM c JOIN n x ON l = x.doc_id JOIN n y ON r = y.doc_id WHERE k / (x.n + y.n - k)::DOUBLE >= 0.8)"""
 
 
 def _words(spark: SparkSession, d: str) -> tuple:
@@ -46,25 +44,30 @@ def _words(spark: SparkSession, d: str) -> tuple:
 
 @query(_SETS + ' SELECT l AS "left", r AS "right", round(similarity, 9) AS similarity FROM pairs')
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of classes of equal word sets, and each copy with its class."""
-    return L.similar_classes(*_words(spark, d)).withColumn("similarity", F.round("similarity", 9))
+    return L.shared_token_pairs(*_words(spark, d)).withColumn("similarity", F.round("similarity", 9))
 
 
-@query(_SETS + ", e AS (SELECT l AS a, r AS b FROM pairs UNION ALL SELECT r, l FROM pairs), reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a")
+@query(_SETS.replace("WITH words", "WITH RECURSIVE words") + ", e AS (SELECT l AS a, r AS b FROM pairs UNION ALL SELECT r, l FROM pairs), reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a")
 def components(spark: SparkSession, d: str) -> DataFrame:
     return N.connected(L.similar_classes(*_words(spark, d)).select("left", "right"))
 
 
+@query(_SETS + r""", sets AS (SELECT doc_id, list_sort(list(w)) AS t FROM s GROUP BY 1), class AS (SELECT t, min(doc_id) AS id FROM sets GROUP BY t)
+SELECT l AS "left", r AS "right", round(similarity, 9) AS similarity FROM pairs WHERE l IN (SELECT id FROM class) AND r IN (SELECT id FROM class) UNION ALL SELECT id, doc_id, 1.0 FROM sets JOIN class USING (t) WHERE id <> doc_id""")
+def near_dup_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes of equal word sets, and each copy with its class."""
+    return L.similar_classes(*_words(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
 @query()
 def near_dup_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """near_dup_pairs with copies expanded into all pairs."""
-    return L.shared_token_pairs(*_words(spark, d)).withColumn("similarity", F.round("similarity", 9))
+    return near_dup_pairs(spark, d)
 
 
 @query()
 def components_all(spark: SparkSession, d: str) -> DataFrame:
     """components, from all pairs."""
-    return N.connected(L.shared_token_pairs(*_words(spark, d)).select("left", "right"))
+    return N.connected(near_dup_pairs(spark, d).select("left", "right"))
 
 
 @query()

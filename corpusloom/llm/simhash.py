@@ -1,16 +1,20 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Each text gets a 64-bit fingerprint of its word shingles. Copies share one fingerprint, and only different
-fingerprints are searched. Fingerprints that differ in at most three bits agree in at least one of four 16-bit blocks,
-so each goes to four buckets by the value of one block; a bucket with too many rows is dealt out again by the blocks of
-what is left of the fingerprint. In a bucket fingerprints are sorted by Gray rank, in which neighbours share
-most bits. Runs of neighbours become nodes, runs of nodes upper nodes; a node keeps the bits that all below it share,
-and a lower node only the shared bits that its parent doesn't have. A search adds up differing bits from the top and
-leaves a node, with all below it, once they are over three.
+fingerprints are searched. In an index fingerprints are sorted by Gray rank, in which neighbours share most bits. Runs
+of neighbours become nodes, runs of nodes upper nodes; a node keeps the bits that all below it share, and a lower
+node only the shared bits that its parent doesn't have. A search adds up differing bits from the top and leaves a node,
+with all below it, once they are over three, or once all below it are known to be linked with what is sought.
+
+Fingerprints that differ in at most three bits agree in at least one of four 16-bit blocks. Each goes to four buckets by
+the first bits of a block, of which only so many are used that a bucket holds some thousands, whose index does the rest.
+A bucket with too many rows is dealt out again by the blocks of what is left of the fingerprint.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +30,8 @@ from .wordstore import blocks
 BITS, DISTANCE = 64, 3
 #: Leaf runs and runs of the level above.
 FANOUT = 16
-#: A bucket over so many rows is dealt out again.
-BUCKET_ROWS = 4096
+#: Buckets hold between a quarter and half as many rows in the mean; one over so many is dealt out again.
+BUCKET_ROWS = 16384
 #: Places of (query, node) pairs that are looked at together.
 FRONTIER = 1 << 16
 
@@ -52,24 +56,27 @@ def fingerprint(text: str, words: int = 3) -> int:
 def majority(hashes: np.ndarray) -> np.uint64:
     """Bits set in over half of the hashes."""
     total = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for at in range(0, len(hashes), 255 << 8):
+        part = hashes[at : at + (255 << 8)].astype("<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # 255 rows at most add up in a byte
+        whole = len(bits) // 255 * 255
+        total += bits[:whole].reshape(-1, 255, BITS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.uint8)
     return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0]
 
 
-def fingerprints(documents: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
-    """documents without the text, with its fingerprint in ``fp`` (long: the bits of the unsigned number)."""
-    rest = dropped(documents, "fp", text)
+def fingerprints(documents: DataFrame, text: str = "text", words: int = 3, out: str = "fp") -> DataFrame:
+    """documents without the text, with its fingerprint in ``out`` (long: the bits of the unsigned number)."""
+    rest = dropped(documents, out, text)
     names = rest.columns
     df = documents.select(*(F.col(f"`{c}`") for c in names), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "fp long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{out}` long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in blocks(whole, whole.num_columns - 1):
                 fps = np.fromiter((fingerprint(t, words) for t in b.column(b.num_columns - 1).to_pylist()), np.uint64, b.num_rows)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*names, "fp"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*names, out])
 
     return df.mapInArrow(run, schema)
 
@@ -82,11 +89,29 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest place that each place is linked with, after links (i, j) came to those that ``root`` has."""
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
 class GrayIndex:
-    """Index of fingerprints given bucket by bucket (``bucket`` ascending, Gray rank ascending in each)."""
+    """Index of fingerprints given bucket by bucket (``bucket`` ascending, Gray rank ascending in each).
+
+    ``told`` counts by level, the rows being level -1: (query, node) pairs looked at, left for their differing bits, and
+    left because they are linked.
+    """
 
     def __init__(self, bucket: np.ndarray, fps: np.ndarray):
-        self.fps = fps
+        self.fps, self.told = fps, Counter()
         n = len(fps)
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if n else np.zeros(0, np.int64)
         self.bucket_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
@@ -104,23 +129,50 @@ class GrayIndex:
             starts = cut
             if len(cut) == len(np.unique(owner)):
                 break
-        self.top_owner = owner
 
     def pairs(self, most: int = DISTANCE, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places (i, j), i < j, of fingerprints of one bucket that differ in at most ``most`` bits."""
+        for q in self._queries(frontier):
+            yield from self._search(q, most, frontier, None)
+
+    def linked(self, most: int = DISTANCE, frontier: int = FRONTIER) -> np.ndarray:
+        """Smallest place that each place is linked with over such pairs, directly or over others."""
         n = len(self.fps)
+        root = np.arange(n)
+        for step in range(1, min(n, 4)):  # neighbours first: what they link needn't be compared again
+            i = np.flatnonzero((self.bucket_of[step:] == self.bucket_of[:-step]) & (np.bitwise_count(self.fps[step:] ^ self.fps[:-step]) <= most))
+            root = join_roots(root, i, i + step)
+        for q in self._queries(frontier):
+            of, roots = [], (root, root)
+            for below, _, _ in self.levels:
+                roots = tuple(f.reduceat(x, below[:-1]) for f, x in zip((np.minimum, np.maximum), roots))
+                of.append(np.where(roots[0] == roots[1], roots[0], -1))
+            found = list(self._search(q, most, frontier, (root, of)))
+            for i, j in found:
+                root = join_roots(root, i, j)
+        return root
+
+    def _queries(self, frontier: int) -> Iterator[np.ndarray]:
+        for at in range(0, len(self.fps), frontier):
+            yield np.arange(at, min(len(self.fps), at + frontier))
+
+    def _search(self, q: np.ndarray, most: int, frontier: int, known: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # the top has one node for each bucket, so that a row starts at its bucket's node
-        for at in range(0, n, frontier):
-            q = np.arange(at, min(n, at + frontier))
-            yield from self._descend(len(self.levels) - 1, q, self.bucket_of[q], np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64), most, frontier)
+        yield from self._descend(len(self.levels) - 1, q, self.bucket_of[q], np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64), most, frontier, known)
 
-    def _descend(self, level: int, q: np.ndarray, node: np.ndarray, lost: np.ndarray, known: np.ndarray, most: int, frontier: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """known: bits already compared above, for each (query, node)."""
+    def _descend(self, level: int, q: np.ndarray, node: np.ndarray, lost: np.ndarray, seen: np.ndarray, most: int, frontier: int, known: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """seen: bits already compared above, for each (query, node); known: roots of rows, and of nodes below which all have one."""
         below, pattern, mask = self.levels[level]
-        lost = lost + np.bitwise_count((self.fps[q] ^ pattern[node]) & mask[node] & ~known).astype(np.uint8)
+        lost = lost + np.bitwise_count((self.fps[q] ^ pattern[node]) & mask[node] & ~seen).astype(np.uint8)
         ok = lost <= most
+        self.told["looked", level] += len(q)
+        self.told["cut", level] += len(q) - int(ok.sum())
+        if known is not None:
+            apart = known[1][level][node] != known[0][q]
+            self.told["linked", level] += int((ok & ~apart).sum())
+            ok &= apart
         q, node, lost = q[ok], node[ok], lost[ok]
-        known = known[ok] | mask[node]
+        seen = seen[ok] | mask[node]
         counts = below[node + 1] - below[node]
         ends = np.cumsum(counts)
         at = 0
@@ -130,55 +182,46 @@ class GrayIndex:
             rep = np.repeat(np.arange(at, to), c)
             child = below[node[rep]] + np.arange(len(rep)) - np.repeat(np.cumsum(c) - c, c)
             if level == 0:
-                more = lost[rep] + np.bitwise_count((self.fps[q[rep]] ^ self.fps[child]) & ~known[rep])
+                more = lost[rep] + np.bitwise_count((self.fps[q[rep]] ^ self.fps[child]) & ~seen[rep])
                 hit = (more <= most) & (q[rep] < child)
+                self.told["looked", -1] += len(rep)
                 if hit.any():
                     yield q[rep][hit], child[hit]
             else:
-                yield from self._descend(level - 1, q[rep], child, lost[rep], known[rep], most, frontier)
+                yield from self._descend(level - 1, q[rep], child, lost[rep], seen[rep], most, frontier, known)
             at = to
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest place that each of n places is linked with, directly or over others."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = root[i], root[j]
-            if (a == b).all():
-                break
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            np.minimum.at(root, hi, lo)
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-    return root
-
-
 def routes(distinct: DataFrame) -> DataFrame:
-    """Rows (bucket, gray, fp): every fingerprint once for each of its four blocks.
+    """Rows (bucket, fp): every fingerprint once for each of its four blocks, or all in one bucket if they are few.
 
-    Buckets over BUCKET_ROWS rows are dealt out again, up to three times: four rows each, by the value of a quarter of
+    A bucket is told by the first bits of a block, of which there are more for more fingerprints. Buckets over
+    BUCKET_ROWS rows are dealt out again, up to three times: four rows each, by the value of a quarter of
     the bits that the bucket's rows don't share yet. As at most three bits differ in those too, no link is lost. After the last
-    round a bucket's rows agree in over 40 bits, which bounds them by the number of patterns of the others.
+    round a bucket's rows agree in over 30 bits, which bounds them by the number of patterns of the others.
     """
-    widths = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6))
-    cur = distinct.select("fp", F.lit("").alias("bucket"), F.col("fp").alias("left"))
+    n = distinct.count()
+    used = min(16, max(0, math.ceil(math.log2(max(1, n) / BUCKET_ROWS)) + 1)) if n > BUCKET_ROWS else 0
+    if not used:
+        return distinct.select(F.lit("").alias("bucket"), "fp")
+    cur, total = distinct.select("fp", F.lit("").alias("bucket"), F.col("fp").alias("left")), BITS
     out = None
-    for round_, cut in enumerate(widths):
-        total, parts, low = sum(cut), [], 0
-        for j, w in enumerate(cut):
+    for round_ in range(4):
+        parts, low = [], 0
+        quarter = [total // 4 + (j < total % 4) for j in range(4)]
+        for j, width in enumerate(quarter):
+            w = min(width, used) if round_ == 0 else width
             bits = lambda c, a, k: F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << k) - 1)) if a else c.bitwiseAND(F.lit((1 << k) - 1))
             value = bits(F.col("left"), low, w)
             above = bits(F.col("left"), low + w, total - low - w) if low + w < total else F.lit(0).cast("long")
             under = bits(F.col("left"), 0, low) if low else F.lit(0).cast("long")
             rest = F.shiftleft(above, low).bitwiseOR(under)
             parts.append(F.struct(F.concat(F.col("bucket"), F.lit(f"{'abcd'[j]}"), F.hex(value)).alias("bucket"), rest.alias("left")))
-            low += w
+            low += width
+        # the number of bits left is that of the smallest part taken; a larger part's bits are all there still
         dealt = cur.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.bucket", "x.left")
-        if round_ == len(widths) - 1:
+        total -= min(min(quarter), used) if round_ == 0 else min(quarter)
+        if round_ == 3:
             return out.unionByName(dealt.select("bucket", "fp"))
         hot = stored(dealt.groupBy("bucket").count().filter(F.col("count") > BUCKET_ROWS).select(F.col("bucket").alias("hot")), "hot")
         if hot.isEmpty():
@@ -204,7 +247,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             bucket = t["bucket"].combine_chunks().dictionary_encode().indices.to_numpy()
             order = np.lexsort((gray_rank(fps), bucket))
             fps, bucket = fps[order], bucket[order]
-            root = forest(len(fps), GrayIndex(bucket, fps).pairs(distance))
+            root = GrayIndex(bucket, fps).linked(distance)
             far = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(fps[far].view(np.int64)), pa.array(fps[root[far]].view(np.int64))], names=["a", "b"])
 
@@ -236,15 +279,15 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     fingerprint zero, which is linked like any other. Repeated rows stay and share a component; columns of these names
     are replaced; an empty table gives an empty table.
     """
-    fps = stored(fingerprints(dropped(documents, "fingerprint", "component_id", "fp"), text, words), "fingerprints")
-    smallest = stored(fps.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct")
+    fps = stored(fingerprints(dropped(documents, "fingerprint", "component_id", "__fp"), text, words, "__fp"), "fingerprints")
+    smallest = stored(fps.groupBy(F.col("__fp").alias("fp")).agg(F.min(doc_id).alias("least")), "distinct")
     joined = components(links(smallest.select("fp"), distance))
     classes = smallest.join(joined, smallest["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(classes.select("fp", "root").join(heads, "root").select(F.col("fp").alias("__fp"), "component_id"), "classes")
+    named = stored(classes.select("fp", "root").join(heads, "root").select(F.col("fp").alias("__of"), "component_id"), "classes")
     # unsigned 64 bits as hex: hex() of a negative long is its two's complement
-    out = fps.join(named, fps["fp"] == named["__fp"]).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    return out.drop("fp", "__fp")
+    out = fps.join(named, F.col("__fp") == F.col("__of")).withColumn("fingerprint", F.lower(F.lpad(F.hex("__fp"), 16, "0")))
+    return out.drop("__fp", "__of")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

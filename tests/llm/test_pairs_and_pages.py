@@ -75,6 +75,31 @@ def test_index_finds_every_pair(seed):
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(d & same, 1)))}
 
 
+def test_upper_nodes_prune_groups_and_links_are_skipped():
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 2**63, 8192, dtype=np.uint64))
+    fps = fps[np.argsort(simhash.gray_rank(fps), kind="stable")]
+    index = simhash.GrayIndex(np.zeros(len(fps), np.int64), fps)
+    assert len(list(index.pairs())) == 0 and len(index.levels) == 4
+    # leaf nodes are left for the bits that their rows share, and groups of them before that
+    assert index.told["cut", 0] > 0.5 * index.told["looked", 0] and index.told["cut", 1] > 0.05 * index.told["looked", 1]
+    assert index.told["looked", -1] < 0.4 * len(fps) ** 2
+    ball = planted(600, 2)
+    ball = ball[np.argsort(simhash.gray_rank(ball), kind="stable")]
+    bucket = np.zeros(len(ball), np.int64)
+    every, linked = simhash.GrayIndex(bucket, ball), simhash.GrayIndex(bucket, ball)
+    want = np.arange(len(ball))
+    for i, j in every.pairs():
+        want = simhash.join_roots(want, i, j)
+    assert linked.linked(frontier=100).tolist() == want.tolist() and linked.told["looked", -1] < every.told["looked", -1]
+
+
+def test_columns_of_internal_names_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "a b c", 6, "y")], "doc_id long, text string, fp int, root string")
+    got = simhash.near_duplicates(df).orderBy("doc_id").collect()
+    assert [(r["fp"], r["root"], r["component_id"]) for r in got] == [(5, "x", 1), (6, "y", 1)]
+
+
 def test_gray_rank():
     x = np.arange(16, dtype=np.uint64)
     assert simhash.gray_rank(x ^ (x >> np.uint64(1))).tolist() == list(range(16))

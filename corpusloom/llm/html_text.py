@@ -751,8 +751,9 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url") -> Data
             texts = [page_text(source, _wrapper(*w) if w[0] is not None else None) for source, *w in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "text", "n_chars"])
 
-    joined = made.join(found, (made["__host"] == found["host"]) & (made["__layout"] == found["layout"]), "left")
-    picked = [made[f"`{c}`"] for c in [*names, "__html"]] + [found[c] for c in ("reference", "content", "template", "usual")]
+    renamed = found.select(*(F.col(c).alias(f"__w_{c}") for c in found.columns))
+    joined = made.join(renamed, (F.col("__host") == F.col("__w_host")) & (F.col("__layout") == F.col("__w_layout")), "left")
+    picked = [*kept, "__html", *(f"__w_{c}" for c in ("reference", "content", "template", "usual"))]
     return joined.select(*picked).mapInArrow(run, ", ".join([*kinds, "text string, n_chars long"]))
 
 

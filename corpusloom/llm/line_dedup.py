@@ -34,9 +34,10 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     The first occurrence is the one of the smallest (doc_id, line), null ids first, among the documents of an id the one
     of the smallest hash of the text. Rows with equal id and text are one document given several times and
     each get its result. A null text stays null (no lines); a text with fewer than three lines that hold words is
-    left as it is. Columns named n_lines or removed_lines are replaced; an empty table gives an empty table.
+    left as it is. Columns named n_lines or removed_lines are replaced, __key, __doc, __lines, __id, __hash and
+    __covered left out; an empty table gives an empty table.
     """
-    docs = dropped(documents, "n_lines", "removed_lines", "__key", "__lines")
+    docs = dropped(documents, "n_lines", "removed_lines", "__key", "__doc", "__lines", "__id", "__hash", "__covered")
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     lines = F.split(F.col(text), "\n", -1)
     seen = docs.filter(F.col(text).isNotNull()).select(key.alias("key"), lines.alias("lines"))
@@ -47,14 +48,15 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     again = stored(counts.filter(~F.col("one").eqNullSafe(F.col("other"))).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "one"), "repeated")
     later = windows.join(again, (windows["h1"] == again["g1"]) & (windows["h2"] == again["g2"])).filter(~at.eqNullSafe(F.col("one")))
     covered = later.groupBy("id", "hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    covered = stored(covered.select("id", "hash", F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))).alias("covered")), "covered")
-    keyed = docs.withColumn("__key", F.xxhash64(text))
+    places = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"]))))
+    covered = stored(covered.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), places.alias("__covered")), "covered")
+    keyed = docs.withColumns({"__key": F.xxhash64(text), "__doc": F.col(f"`{doc_id}`")})
     # a merge join at any size: what is joined carries the texts, and the other side has no size bound
-    out = keyed.join(covered.hint("merge"), F.col(doc_id).eqNullSafe(covered["id"]) & (keyed["__key"] == covered["hash"]), "left").withColumn("__lines", lines)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("covered")), lambda i: F.element_at("__lines", i + 1))
+    out = keyed.join(covered.hint("merge"), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left").withColumn("__lines", lines)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered")), lambda i: F.element_at("__lines", i + 1))
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
-    columns[text] = F.when(F.col("covered").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return out.select(*(v.alias(k) for k, v in columns.items()), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(F.col("covered")), F.lit(0)).cast("long").alias("removed_lines"))
+    columns[text] = F.when(F.col("__covered").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    return out.select(*(v.alias(k) for k, v in columns.items()), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(F.col("__covered")), F.lit(0)).cast("long").alias("removed_lines"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,10 +134,12 @@ def quality_rules(
     distance of a short text from its own language is mostly sampling error, which falls with the root of its length,
     the word threshold is max_word_distance + sampling_slack / sqrt(words). A null or
     empty text has zeros and fails the base rules; a null or unknown language only leaves a document out of the
-    references. Repeated rows each get the same result; columns of these names are replaced. The language column may be
-    missing, then no document is judged by distance. Empty tables give empty tables.
+    references. Repeated rows each get the same result; columns of these names are replaced. The language column, in
+    upper or lower case, may be missing, then no document is judged by distance. Empty tables give empty tables.
     """
-    with_lang = documents if lang in documents.columns else documents.withColumn(lang, F.lit(None).cast("string"))
+    named = [c for c in documents.columns if c.lower() == lang.lower()]
+    with_lang = documents if named else documents.withColumn(lang, F.lit(None).cast("string"))
+    lang = named[0] if named else lang
     f = stored(features(dropped(with_lang, "class_distance", "word_distance"), text), "quality")
     refs = references(f, lang).agg(F.map_from_entries(F.collect_list(F.struct("__lang", F.struct("__rc", "__rw", "__rn")))).alias("__refs"))
     df = f.crossJoin(F.broadcast(refs))  # one row: at most one entry for each of the four languages

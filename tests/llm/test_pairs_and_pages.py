@@ -211,6 +211,25 @@ def test_url_filters(spark, shipped):
     assert url_rules.filter_urls(pages.limit(0), rules, shipped_bytes=shipped).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_shipped_and_ranged_rules_agree(spark, seed):
+    rng = np.random.default_rng(seed)
+    hosts = ["com", "a.com", "b.a.com", "A.com.", "bÄ.com", "bä.com", ".net", "x.net", "", "org"]
+    paths = ["", "/", "/a", "/a/b", "/ab", "/a/b/c/d", "/ä"]
+    rules = [(str(rng.choice(["allow", "block"])), str(rng.choice(hosts)), str(rng.choice([*paths, None])) if rng.random() < 0.9 else None) for _ in range(40)]
+    rules = [(v, h, None if p == "None" else p) for v, h, p in rules] + [("allow", None, "/"), ("allow", "org", "/a"), ("block", "org", "/a")]
+    urls = [f"http://{h}{p}{x}" for h in ("com", "z.a.com", "b.a.com", "A.COM", "bÄ.com", "q.bä.com", "x.net", "org", "a.org", "") for p in paths for x in ("", "?q", "/z")] + [None, "", "x", "http://com/a"] * 3
+    pages = spark.createDataFrame([(i, u, "v", "clash") for i, u in enumerate(urls)], "page_id long, url string, v string, u string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    ship, ranged = (sorted(map(tuple, url_rules.filter_urls(pages, table, shipped_bytes=n).collect())) for n in (1 << 20, 1))
+    assert ship == ranged and len({r[-2] for r in ship}) > 6
+    known = url_rules.distinct_rules(url_rules.Rule(v, h, p or "") for v, h, p in rules if h)
+    by_text = {r.text: r for r in known}
+    for r in ship:
+        want = slow_rule(r[1], known)
+        assert (r[-2] and len(r[-2])) == (want and len(want.text)) and (r[-2] is None or by_text[r[-2]].verdict == r[-1] or sum(x.text == r[-2] for x in known) > 1)
+
+
 # -- op6 -----------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="has-sidebar">

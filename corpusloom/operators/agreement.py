@@ -109,13 +109,27 @@ def compare_reviews(master: DataFrame, one: DataFrame, two: DataFrame, key: str,
     })
 
 
-def resolve(comparisons: DataFrame, adjudications: DataFrame, key: str) -> DataFrame:
+def discrepancies(comparisons: DataFrame, humans: DataFrame, key: str) -> DataFrame:
+    """Keys of agreed rows that a human saw otherwise: undecided, decided otherwise, or excluded for another reason.
+
+    humans: key, human_decision, human_primary_code; rows that reviewers disagreed on are adjudicated anyway.
+    """
+    seen = comparisons.filter(~F.col("needs_adjudication")).join(humans.select(key, "human_decision", "human_primary_code"), key)
+    model = F.col("reviewer_A_decision")
+    otherwise = (F.col("human_decision") == "UNCERTAIN") | (F.col("human_decision") != model) | ((model == "EXCLUDE") & (F.col("human_primary_code") != F.col("reviewer_A_primary_code")))
+    return seen.filter(otherwise).select(key)
+
+
+def resolve(comparisons: DataFrame, adjudications: DataFrame, key: str, humans: DataFrame | None = None) -> DataFrame:
     """Final decision and code: the adjudicated ones, else the agreed ones; lacking ones are an error.
 
-    decision_basis says which. adjudications: key, decision, primary_code.
+    decision_basis says which. adjudications: key, decision, primary_code. humans (see discrepancies): what they saw
+    otherwise must be adjudicated too.
     """
     adj = adjudications.select(key, F.col("decision").alias("__d"), F.col("primary_code").alias("__c"))
     got = comparisons.join(adj, key, "left")
+    if humans is not None:
+        got = got.join(discrepancies(comparisons, humans, key).withColumn("__h", F.lit(True)), key, "left").withColumn("needs_adjudication", F.col("needs_adjudication") | F.coalesce("__h", F.lit(False))).drop("__h")
     lacking = F.col("needs_adjudication") & F.col("__d").isNull()
     decision = F.when(lacking, F.raise_error(F.concat(F.lit("not adjudicated: "), F.col(key).cast("string"))).cast("string")).otherwise(F.coalesce("__d", "reviewer_A_decision"))
     return got.withColumns({

@@ -95,6 +95,17 @@ def distribution(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFr
     return got.select(*by, "n", "sum", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "min", "max", "zero_count")
 
 
+def distribution_of_years(df: DataFrame, value: Column, year: Column, first: int, last: int) -> DataFrame:
+    """distribution for every year of a range, those without a value included, with the year's rows (works) and covered = n."""
+    each = df.select(year.alias("year"), value.alias("__v"))
+    got = distribution(each, F.col("__v"), ["year"])
+    works = each.groupBy("year").agg(F.count("*").alias("works"))
+    spine = df.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    out = spine.join(got, "year", "left").join(works, "year", "left")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "works", "zero_count")}
+    return out.withColumns(zero).withColumn("covered", F.col("n"))
+
+
 def conditional_counts(df: DataFrame, label: str, conditions: dict[str, Column]) -> DataFrame:
     """For each label one count for each condition."""
     return df.groupBy(label).agg(*(F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(n) for n, c in conditions.items()))
@@ -119,6 +130,13 @@ def folded_frequency(df: DataFrame, key: str, items: str, order: str) -> DataFra
     return each.groupBy("folded").agg(F.min_by("x", F.struct("o", "p")).alias("label"), F.count_distinct("k").alias("count"))
 
 
+def folded_with_missing(df: DataFrame, key: str, items: str, order: str, missing: str = "Missing") -> DataFrame:
+    """folded_frequency, and a row for works without any item (folded null), with all works as denominator."""
+    n = df.agg(F.count("*").alias("denominator"), F.coalesce(F.sum(F.when(F.size(F.coalesce(F.col(items), F.array().cast("array<string>"))) == 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("__m"))
+    blank = n.select(F.lit(None).cast("string").alias("folded"), F.lit(missing).alias("label"), F.col("__m").alias("count"))
+    return folded_frequency(df, key, items, order).unionByName(blank).crossJoin(F.broadcast(n.select("denominator")))  # one row
+
+
 def only_label(df: DataFrame, labels: str, label: str) -> DataFrame:
     """One row (count, denominator): works whose labels are this one and no other."""
     return df.agg(F.sum(F.when(F.array_distinct(labels) == F.array(F.lit(label)), 1).otherwise(0)).cast("long").alias("count"), F.count("*").alias("denominator"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import share
 from ..functions.text import missing, nfkc, squeeze
 
 AUTHORS = "array<struct<author_id:string,author_name:string,orcid:string,institution_ids:array<string>,countries:array<string>>>"
@@ -31,6 +32,16 @@ def country_counts(works: DataFrame, countries: str) -> DataFrame:
     return got.crossJoin(F.broadcast(n))  # one row
 
 
+def country_shares(works: DataFrame, countries: str) -> DataFrame:
+    """country_counts with both denominators, covered works and all works, percentages under each, and a row (country null) for works without a country."""
+    n = works.agg(F.count("*").alias("works"))
+    got = country_counts(works, countries).crossJoin(F.broadcast(n))  # one row
+    none = works.select(F.when(F.size(F.coalesce(F.col(countries), F.array().cast("array<string>"))) > 0, 1).otherwise(0).alias("c")).agg((F.count("*") - F.coalesce(F.sum("c"), F.lit(0))).alias("whole"), F.coalesce(F.sum("c"), F.lit(0)).alias("covered"), F.count("*").alias("works"))
+    blank = none.select(F.lit(None).cast("string").alias("country"), "whole", F.lit(None).cast("double").alias("fractional"), "covered", "works")
+    both = got.select("country", "whole", "fractional", "covered", "works").unionByName(blank)
+    return both.withColumns({"percent_of_covered": F.when(F.col("country").isNotNull(), share(F.col("whole"), F.col("covered"))), "percent_of_works": share(F.col("whole"), F.col("works"))})
+
+
 def collaboration(works: DataFrame, countries: str) -> DataFrame:
     """One row: works with several countries, works with any, all works."""
     size = F.size(F.array_distinct(countries))

@@ -62,13 +62,36 @@ def protected_faults(template: DataFrame, filled: DataFrame, key: str, columns:
     return differences(template, filled, key, columns)
 
 
-def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join of tables that each have every key of the other once; anything else is an error."""
+def merge_faults(before: DataFrame, after: DataFrame, key: str, family: str, columns: Sequence[str], allowed: Sequence[str]) -> DataFrame:
+    """(key, field, left, right, fault) of what a merge of families changed beyond what it may.
+
+    A merge makes one family of several: records whose family grew or ceased may change the allowed fields, all others
+    nothing, and no record may come or go.
+    """
+    sizes = lambda df, n: df.groupBy(family).agg(F.count("*").alias(n))
+    own = lambda df, n: df.select(key, family).join(sizes(df, n), family).select(key, n)
+    both = own(before, "__b").join(own(after, "__a"), key, "full")
+    touched = both.select(key, (F.col("__a") > F.col("__b")).alias("__grew"), F.col("__b").isNull().alias("__new"), F.col("__a").isNull().alias("__gone"))
+    found = differences(before, after, key, columns).join(touched, key, "left")
+    fault = F.when(F.col("__new"), "record added").when(F.col("__gone"), "record lost").when(~F.col("__grew"), "record of no merged family").when(~F.col("field").isin(*allowed), "field that must stay")
+    return found.withColumn("fault", fault).filter("fault is not null").select(key, "field", "left", "right", "fault")
+
+
+def order_faults(left: DataFrame, right: DataFrame, key: str, place: str) -> DataFrame:
+    """(key, first, second) of keys whose places in two tables differ, or that one lacks."""
+    a, b = left.select(key, F.col(place).alias("first")), right.select(key, F.col(place).alias("second"))
+    return a.join(b, key, "full").filter("not (first <=> second)")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str, place: str | None = None) -> DataFrame:
+    """Inner join of tables that each have every key of the other once, in the same places if asked; anything else is an error."""
+    if place and (first := order_faults(left, right, key, place).first()):
+        raise ValueError(f"not in the same order: {first}")
     mark = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n))
     odd = mark(left, "l").join(mark(right, "r"), key, "full").filter("coalesce(l, 0) <> 1 or coalesce(r, 0) <> 1")
     if first := odd.first():
         raise ValueError(f"not one to one: {first}")
-    return left.join(right, key)
+    return left.join(right.drop(place) if place else right, key)
 
 
 def label_edits(df: DataFrame, labels: str, proposed: str, removed: str, added: str, unspecified: str, order: Sequence[str]) -> DataFrame:

@@ -18,7 +18,8 @@ def hits(texts: DataFrame, key: str, fields: Sequence[str], dictionary: dict[str
     """
     whole = F.concat_ws("\n", *(F.coalesce(F.col(f), F.lit("")) for f in fields))
     df = texts.select(F.col(key), *(F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields), whole.alias("__whole"))
-    one = [F.struct(F.lit(label).alias("label"), F.col("__whole").rlike(p).alias("any_field"), *(F.col(f).rlike(p).alias(f"in_{f}") for f in fields)) for label, p in ((k, phrase_pattern(v)) for k, v in dictionary.items())]
+    # of a single field the whole is that field, which is searched once
+    one = [F.struct(F.lit(label).alias("label"), F.col("__whole").rlike(p).alias("any_field"), *((F.col(f).rlike(p) if len(fields) > 1 else F.lit(True)).alias(f"in_{f}") for f in fields)) for label, p in ((k, phrase_pattern(v)) for k, v in dictionary.items())]
     return df.select(key, F.explode(F.filter(F.array(*one), lambda s: s["any_field"])).alias("h")).select(key, "h.*")
 
 
@@ -83,14 +84,15 @@ def indicators(found: DataFrame, works: DataFrame, key: str, labels: Sequence[st
 def concepts(texts: DataFrame, key: str, fields: Sequence[str], thesaurus: dict[str, Sequence[str]]) -> DataFrame:
     """(key, concept, variants, in_<field>...): concepts of a thesaurus in normalised fields, with the variants that matched."""
     df = texts.select(key, *(F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields))
+    # the variants found in a field are a column of their own, so that each pattern reads a field once
+    found = lambda f, vs: F.filter(F.array(*(F.when(F.col(f).rlike(variant_pattern(v)), F.lit(v)) for v in vs)), lambda x: x.isNotNull())
+    seen = df.select(key, *(found(f, vs).alias(f"__{i}_{f}") for i, vs in enumerate(thesaurus.values()) for f in fields))
 
-    def one(concept: str, variants: Sequence[str]) -> Column:
-        ps = [(v, variant_pattern(v)) for v in variants]
-        in_field = {f: F.coalesce(*[F.when(F.col(f).rlike(p), True) for _, p in ps], F.lit(False)) for f in fields}
-        seen = [F.when(F.greatest(*(F.col(f).rlike(p) for f in fields)) if len(fields) > 1 else F.col(fields[0]).rlike(p), F.lit(v)) for v, p in ps]
-        return F.struct(F.lit(concept).alias("concept"), F.array_sort(F.filter(F.array(*seen), lambda x: x.isNotNull())).alias("variants"), *(c.alias(f"in_{f}") for f, c in in_field.items()))
+    def one(i: int, concept: str) -> Column:
+        variants = F.array_sort(F.array_distinct(F.concat(*(F.col(f"__{i}_{f}") for f in fields))))
+        return F.struct(F.lit(concept).alias("concept"), variants.alias("variants"), *((F.size(f"__{i}_{f}") > 0).alias(f"in_{f}") for f in fields))
 
-    return df.select(key, F.explode(F.filter(F.array(*(one(c, vs) for c, vs in thesaurus.items())), lambda s: F.size(s["variants"]) > 0)).alias("h")).select(key, "h.*")
+    return seen.select(key, F.explode(F.filter(F.array(*(one(i, c) for i, c in enumerate(thesaurus))), lambda s: F.size(s["variants"]) > 0)).alias("h")).select(key, "h.*")
 
 
 def strongest(edges: DataFrame, weight: str, count: str, k: int = 6, always: int = 8) -> DataFrame:

@@ -119,3 +119,37 @@ def share_out(queues: dict[str, list], target: int) -> dict:
     drawn |= dict.fromkeys(chosen, "UNCERTAIN") | dict.fromkeys(more, "DISAGREE") | dict.fromkeys(spare, "UNCERTAIN")
     filling = [k for k in queues["DIFFICULT_FILL"] if k not in drawn][: target - len(drawn)]
     return drawn | dict.fromkeys(filling, "DIFFICULT_FILL")
+
+
+# What a confirmed error in a group of the audit sample leads to: pools to go on with, and up to how many records of each (None: all).
+EXPANSIONS = {
+    "A_DIFFICULT": (("DIFFICULT_ALL",), None),
+    "B_AGREED_INCLUDE": (("AGREED_INCLUDE",), 100),
+    "C_AGREED_EXCLUDE": (("MIXED_EXCLUDE", "SAME_EXCLUDE"), 50),
+}
+BOUNDARY_TARGET = 50
+
+
+def expansion_triggers(audited: DataFrame) -> DataFrame:
+    """(pool, target, errors): pools that the audit must go on with; target null: the whole pool.
+
+    audited: sample_group, sample_component, confirmed_error, second_review, second_decision. A confirmed error of a group
+    opens its pools; a boundary pool opens if a second reviewer keeps a record or can't decide.
+    """
+    rules = audited.sparkSession.createDataFrame([(g, pool, n) for g, (pools, n) in EXPANSIONS.items() for pool in pools], "sample_group string, pool string, target int")
+    errors = audited.filter("confirmed_error").groupBy("sample_group").agg(F.count("*").alias("errors"))
+    kept = audited.filter(F.col("sample_component").startswith("BOUNDARY_") & F.col("second_review") & F.col("second_decision").isin("INCLUDE", "UNCERTAIN"))
+    boundary = kept.groupBy(F.col("sample_component").alias("pool")).agg(F.lit(BOUNDARY_TARGET).alias("target"), F.count("*").alias("errors"))
+    return rules.join(errors, "sample_group").select("pool", "target", "errors").unionByName(boundary)
+
+
+def audit_expansion(ranked: DataFrame, audited: DataFrame, key: str) -> DataFrame:
+    """(pool, key, pool_rank, complete): records that the triggers add, by rank; complete tells whether the pool has as many as its target.
+
+    ranked: pool, key, pool_rank (complete rankings).
+    """
+    opened = expansion_triggers(audited).withColumnRenamed("pool", "__pool")
+    sizes = ranked.groupBy(F.col("pool").alias("__of")).agg(F.count("*").alias("__size"))
+    reach = opened.join(sizes, opened["__pool"] == sizes["__of"]).select("__pool", "target", (F.col("target").isNull() | (F.col("__size") >= F.col("target"))).alias("complete"))
+    got = ranked.join(F.broadcast(reach), F.col("pool") == F.col("__pool")).filter(F.col("target").isNull() | (F.col("pool_rank") <= F.col("target")))  # a row for each pool
+    return got.join(audited.select(key), key, "left_anti").select("pool", key, "pool_rank", "complete")

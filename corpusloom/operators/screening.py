@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import list_faults, split_list, strip
+
 # Controlled labels of screening decisions.
 DECISIONS = ("INCLUDE", "EXCLUDE", "UNCERTAIN")
 CRITERIA = ("llm_explicit", "health_professions_education", "simulation_central", "eligible_document_type", "date_eligible", "language_assessable")
@@ -79,10 +81,21 @@ def decision_rules(final: bool = False) -> dict[str, Column]:
     return rules
 
 
-def review_rules(key: str = "paper_id") -> dict[str, Column]:
-    """Faults of a review row: untrimmed or many-lined evidence, a version that is the record itself, repeated items of a list."""
+def list_rules(lists: dict[str, Sequence[str]]) -> dict[str, Column]:
+    """Faults of ``;`` lists of controlled labels (column to its labels): blank, repeated and unknown items."""
+    unknown = lambda allowed: lambda x: ~x.isin(*allowed)
+    rules: dict[str, Column] = {}
+    for c, allowed in lists.items():
+        wrong = list_faults(c)
+        rules |= {f"{c}: blank item": wrong == "blank item", f"{c}: repeated item": wrong == "repeated item"}
+        rules[f"{c}: unknown label"] = F.exists(split_list(c), unknown(allowed))
+    return rules
+
+
+def review_rules(key: str = "paper_id", lists: dict[str, Sequence[str]] | None = None) -> dict[str, Column]:
+    """Faults of a review row: untrimmed or many-lined evidence, a version that is the record itself, faults of controlled lists."""
     ev = F.col("evidence")
-    return {
+    return list_rules(lists or {}) | {
         "outer white space": ev.rlike(r"(?U)^\s|\s$"),
         "evidence over several lines": ev.contains("\n") | ev.contains("\r"),
         "blank evidence": F.coalesce(F.trim(ev), F.lit("")) == "",
@@ -96,6 +109,43 @@ def conditional_fields(condition: Column, required: Sequence[str], blank: Sequen
     return {f"{c} required": condition & empty(c) for c in required} | {f"{c} must be blank": ~condition & ~empty(c) for c in blank}
 
 
+def minutes_rules(column: str) -> dict[str, Column]:
+    """Faults of a time that may be blank: text that isn't a finite number, and negative numbers."""
+    text, value = strip(column), strip(column).try_cast("double")
+    given = text != ""
+    return {f"{column}: not a finite number": given & (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))), f"{column}: negative": given & (value < 0)}
+
+
+def marker_rules(rationale: str, markers: dict[str, tuple[Column, str]]) -> dict[str, Column]:
+    """Faults of rationales that lack the marker which a condition asks for: name to (condition, marker)."""
+    text = F.coalesce(F.col(rationale), F.lit(""))
+    return {name: condition & ~text.contains(marker) for name, (condition, marker) in markers.items()}
+
+
+# Relationships of two versions of a work, and the roles that they ask for: any of each group.
+SAME_WORK, OTHER_WORK = "SAME_SCHOLARLY_WORK_VERSION", "DISTINCT_SCHOLARLY_WORK"
+ROLES_OF = {
+    "preprint_to_journal": (("preprint",), ("final_journal_article",)),
+    "conference_to_journal": (("final_journal_article",), ("conference_full_paper", "conference_abstract")),
+    "correction_of": (("correction",),),
+    "supplement_of": (("supplement",),),
+    "translated_version": (("translated_publication",),),
+}
+
+
+def role_faults(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(left, right, relationship, lacking) of pairs of one work whose ends lack a role that their relationship asks for.
+
+    pairs: left, right, decision, relationship; members: key, version_role. The table of asked roles has a row for each
+    group; a pair lacks a group if neither end has one of its roles.
+    """
+    asked = pairs.sparkSession.createDataFrame([(r, list(g)) for r, gs in ROLES_OF.items() for g in gs], "relationship string, roles array<string>")
+    role = lambda side: members.select(F.col(key).alias(side), F.col("version_role").alias(f"{side}_role"))
+    held = pairs.filter(F.col("decision") == SAME_WORK).join(role("left"), "left").join(role("right"), "right").join(F.broadcast(asked), "relationship")  # seven rows
+    lacking = ~F.array_contains("roles", F.col("left_role")) & ~F.array_contains("roles", F.col("right_role"))
+    return held.filter(lacking).select("left", "right", "relationship", F.array_join("roles", " or ").alias("lacking"))
+
+
 def extraction_rules(labels: dict[str, Sequence[str]], rationale: str, url: str, placeholders: Sequence[str] = ("tbd", "n/a", "todo", "unknown")) -> dict[str, Column]:
     """Faults of an extraction row: label arrays in another than the agreed order, unknown or repeated labels, placeholders, short rationales, bad addresses."""
     def in_order(c: str, allowed: Sequence[str]) -> Column:

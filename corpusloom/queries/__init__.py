@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, linking, texts
+from . import counting, linking, review, texts
 
-_MODULES = (counting, texts, linking)
+_MODULES = (counting, texts, linking, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -69,7 +69,8 @@ class Service:
     """style: cursor (next cursor from the reply), token (same, absent at first), offset or page (counted here).
 
     records and total: dotted paths in a reply; next: the path of the next cursor; key: path in a record that must not
-    repeat; stable_total: whether the total must not change from page to page; page_size may only be lowered.
+    repeat; stable_total: whether the total must not change from page to page; page_size may only be lowered. window: how
+    many records of one query the service gives at all; a query with more must be split.
     """
 
     name: str
@@ -84,6 +85,7 @@ class Service:
     page_size: int = 100
     stable_total: bool = False
     cap: int | None = None
+    window: int | None = None
 
     def lowered(self, page_size: int) -> Service:
         if not 0 < page_size <= self.page_size:
@@ -111,6 +113,8 @@ def pages(service: Service, query: dict, send: Callable[[dict], Reply], **how) -
         if service.stable_total and total is not None and now != total:
             raise RuntimeError("the total changed while pages were read")
         total = now
+        if service.window is not None and total is not None and total > service.window:
+            raise RuntimeError(f"{total} records, of which the service gives {service.window}")
         if service.cap is not None:
             records = records[: service.cap - got]
         if service.key:
@@ -128,6 +132,50 @@ def pages(service: Service, query: dict, send: Callable[[dict], Reply], **how) -
         place = following if service.style in ("cursor", "token") else got if service.style == "offset" else place + 1
 
 
+def preflight_counts(service: Service, queries: list[tuple[str, dict]], send: Callable[[dict], Reply], **how) -> dict[str, int]:
+    """Records that the service has for each query, by one request of the smallest page."""
+    out = {}
+    for name, query in queries:
+        body = fetch(send, dict(query) | {service.size_parameter: 1} | ({service.parameter: service.first} if service.style == "cursor" else {}), **how).body
+        out[name] = int(_at(body, service.total) or 0)
+    return out
+
+
+# Services, with the names that their interfaces use.
+SERVICES = {
+    s.name: s
+    for s in (
+        Service("openalex", "cursor", "results", next="meta.next_cursor", total="meta.count", key="id", size_parameter="per-page", page_size=200),
+        Service("europepmc", "cursor", "resultList.result", next="nextCursorMark", total="hitCount", parameter="cursorMark", size_parameter="pageSize", page_size=1000),
+        Service("crossref", "cursor", "message.items", next="message.next-cursor", total="message.total-results", key="DOI", size_parameter="rows", page_size=1000),
+        Service("semantic_scholar", "token", "data", next="token", total="total", key="paperId", parameter="token", size_parameter="limit", page_size=1000),
+        Service("core", "offset", "results", total="totalHits", key="id", parameter="offset", size_parameter="limit", page_size=100),
+        Service("doaj", "page", "results", total="total", key="id", parameter="page", size_parameter="pageSize", page_size=100),
+        Service("pubmed", "offset", "articles", total="count", parameter="retstart", size_parameter="retmax", page_size=500, window=9999),
+        Service("scopus", "offset", "search-results.entry", total="search-results.opensearch:totalResults", key="eid", parameter="start", size_parameter="count", page_size=25, stable_total=True, window=5000),
+    )
+}
+
+
+def pubmed_query(query: dict, send: Callable[[dict], Reply], **how) -> dict:
+    """The query as a place in the service's history: searched once, then fetched by its web environment and key."""
+    found = fetch(send, dict(query) | {"db": "pubmed", "retmode": "json", "retmax": 0, "usehistory": "y"}, **how).body.get("esearchresult", {})
+    return {"db": "pubmed", "WebEnv": found.get("webenv", ""), "query_key": found.get("querykey", ""), "retmode": "xml", "count": int(found.get("count", 0))}
+
+
+def pubmed_reply(query: dict, send: Callable[[dict], Reply]) -> Callable[[dict], Reply]:
+    """``send`` for pages of a history: articles of the fetched XML as texts, with the count that the search gave."""
+    from .tables import xml_fragments_of
+
+    def reply(request: dict) -> Reply:
+        got = send(request)
+        if got.status != 200:
+            return got
+        return Reply(got.status, {"articles": xml_fragments_of(got.body, ("PubmedArticle", "PubmedBookArticle")), "count": query["count"]}, got.headers)
+
+    return reply
+
+
 def collect(spark: SparkSession, service: Service, queries: list[tuple[str, dict]], send: Callable[[dict], Reply], retrieved_at: str, **how) -> DataFrame:
     """Envelopes of all records of the queries; each query is read by a task of its own."""
     asked = spark.createDataFrame([(i, json.dumps(q)) for i, q in queries], "query_id string, query string").repartition(max(1, len(queries)), "query_id")

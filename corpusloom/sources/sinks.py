@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from ..operators.lineage import cut
 from .tables import files
 
 
@@ -28,8 +29,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat_text(df).write.mode("errorifexists").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_pair(df: DataFrame, path: str) -> None:
-    """A table as CSV and as JSON lines."""
+def write_pair(df: DataFrame, path: str, columns: Sequence[str] | None = None, key: Sequence[str] = ()) -> None:
+    """A table as CSV and as JSON lines, both from rows that are computed once.
+
+    columns: the names that it must have, in this order; key: columns that no two rows may share. A broken contract writes
+    nothing.
+    """
+    if columns is not None and list(columns) != df.columns:
+        raise ValueError(f"columns {df.columns} instead of {list(columns)}")
+    df = cut(df)
+    if key and (twice := df.groupBy(*key).count().filter("count > 1").first()):
+        raise ValueError(f"key given twice: {twice}")
     write_csv(df, f"{path}.csv")
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(f"{path}.json")
 

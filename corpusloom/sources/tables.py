@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -73,6 +74,13 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def bundle(digests: dict[str, str]) -> str:
+    """Digest of the inputs by role."""
+    import hashlib
+
+    return hashlib.sha256("\0".join(sorted(f"{r}:{d}" for r, d in digests.items())).encode()).hexdigest()
+
+
 def pinned(spark: SparkSession, path: str, df: DataFrame, sha256: str | None = None, size: int | None = None, rows: int | None = None, required: Sequence[str] = ()) -> DataFrame:
     """df, if the file at path has the digest and size, and the table the rows and columns, that were agreed."""
     faults = []
@@ -112,6 +120,12 @@ def xml_records(spark: SparkSession, path: str, tag: str, schema: T.StructType |
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def xml_fragments_of(text: str, tags: Sequence[str]) -> list[str]:
+    """Elements of some kinds in one document's text, each as text of its own; elements of these kinds don't nest."""
+    names = "|".join(re.escape(t) for t in tags)
+    return [m[0] for m in re.finditer(rf"<({names})(?:\s[^>]*)?>.*?</\1\s*>", text, re.S)]
+
+
 def redacted(df: DataFrame, column: str, secret: Sequence[str]) -> DataFrame:
     """A map column with the values of secret keys replaced, whatever their case."""
     names = [s.lower() for s in secret]

@@ -9,6 +9,10 @@ with all below it, once they are over three, or once all below it are known to b
 Fingerprints that differ in at most three bits agree in at least one of four 16-bit blocks. Each goes to four buckets by
 the first bits of a block, of which only so many are used that a bucket holds some thousands, whose index does the rest.
 A bucket with too many rows is dealt out again by the blocks of what is left of the fingerprint.
+
+Texts of a given similarity of their shingles differ in more bits than blocks can find. For them fingerprints have 256 bits,
+the share of differing bits tells the angle between two texts, and each fingerprint goes to buckets by samples of its bits, so many that
+two texts of that similarity meet in one with a probability of 0.95. In a bucket they are sorted by Gray rank and compared in full.
 """
 
 from __future__ import annotations
@@ -36,21 +40,23 @@ BUCKET_ROWS = 16384
 FRONTIER = 1 << 16
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Majority of the bits of the XXH64 (seed 42) of every word shingle, A-Z lower-cased; no words: zero."""
+def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle, A-Z lower-cased; of the whole sequence if it is shorter."""
     import xxhash
 
     ws = text.encode("utf-8", "replace").lower().split()
-    if not ws:
-        return 0
     if len(ws) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(ws), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(ws), 42)] if ws else [], np.uint64)
     line = b" ".join(ws)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     h, view = xxhash.xxh64_intdigest, memoryview(line)
-    got = np.fromiter((h(view[a:b], 42) for a, b in zip(starts[: len(ws) - words + 1].tolist(), ends[words - 1 :].tolist())), np.uint64, len(ws) - words + 1)
-    return int(majority(got))
+    return np.fromiter((h(view[a:b], 42) for a, b in zip(starts[: len(ws) - words + 1].tolist(), ends[words - 1 :].tolist())), np.uint64, len(ws) - words + 1)
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """Majority of the bits of the hashes of all word shingles; no words: zero."""
+    return int(majority(shingle_hashes(text, words)))
 
 
 def majority(hashes: np.ndarray) -> np.uint64:
@@ -271,6 +277,138 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return sorted_rows.select("bucket", "fp").mapInArrow(run, "a long, b long")
 
 
+# -- by similarity -------------------------------------------------------------------------------------------------
+
+#: Words of 64 bits of a wide fingerprint, and the chance that two texts of the asked similarity meet in no bucket.
+WIDE, MISSED = 4, 0.05
+
+
+def wide_fingerprint(text: str, words: int = 5) -> list[int]:
+    """Majorities of WIDE hashes of every word shingle, the others made from the first by mixing; no words: zeros."""
+    h, out = shingle_hashes(text, words), []
+    for k in range(WIDE):
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        if k:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        out.append(int(majority(x)))
+    return out
+
+
+def differing(similarity: float) -> tuple[float, int]:
+    """Expected share of bits in which texts of that Jaccard similarity differ, and how many bits may differ: one deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = BITS * WIDE
+    return share, int(n * share + math.sqrt(n * share * (1 - share)))
+
+
+def _similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b) of ids of wide fingerprints (id, f0, f1, ...): links that join what is similar in each bucket."""
+    n = max(2, distinct.count())
+    share, most = differing(similarity)
+    width = min(30, max(8, math.ceil(math.log2(n))))
+    bands = math.ceil(math.log(MISSED) / math.log1p(-((1 - share) ** width)))
+    rng = np.random.default_rng(42)
+    samples = np.stack([rng.choice(BITS * WIDE, width, replace=False) for _ in range(bands)])
+    names = [f"f{k}" for k in range(WIDE)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = 1 << np.arange(width)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                rows = np.stack([b.column(k + 1).to_numpy() for k in range(WIDE)], 1).astype("<i8")
+                bits = np.unpackbits(rows.view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+                value = (bits[:, samples].astype(np.int64) @ power) + (np.arange(bands) << 32)
+                rep = np.repeat(np.arange(len(rows)), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(value.reshape(-1)), b.column(0).take(pa.array(rep)), *(pa.array(rows[rep, k]) for k in range(WIDE))], names=["bucket", "id", *names])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def linked(t: pa.Table) -> pa.RecordBatch:
+            col = lambda c: t[c].combine_chunks().to_numpy()
+            bucket, ids = col("bucket"), col("id")
+            fps = np.stack([col(c).view(np.uint64) for c in names])
+            order = np.lexsort((gray_rank(fps[0]), bucket))
+            bucket, ids, fps = bucket[order], ids[order], np.ascontiguousarray(fps[:, order])
+            root, i = np.arange(len(ids)), np.arange(len(ids))
+            for step in range(1, len(ids)):
+                # rows whose bucket reaches so far; what is linked already isn't compared
+                i = i[i + step < len(ids)]
+                i = i[bucket[i] == bucket[i + step]]
+                if not len(i):
+                    break
+                open_ = i[root[i] != root[i + step]]
+                near = sum(np.bitwise_count(fps[k, open_] ^ fps[k, open_ + step]).astype(np.int64) for k in range(WIDE)) <= most
+                root = join_roots(root, open_[near], open_[near] + step)
+                if step & (step - 1) == 0:  # buckets of which all is linked are through
+                    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                    whole = np.repeat(np.maximum.reduceat(root, first) == np.minimum.reduceat(root, first), np.diff(np.append(first, len(ids))))
+                    i = i[~whole[i]]
+            far = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # whole buckets are searched; the last one may go on in the next batch
+            keys = b.column(0)
+            begin = pc.index(keys, keys[-1]).as_py()
+            if begin == 0 and held and held[-1].column(0)[-1] == keys[0]:
+                held.append(b)
+                continue
+            if held or begin:
+                yield linked(pa.Table.from_batches([*held, b.slice(0, begin)]))
+            held = [b.slice(begin)]
+        if held:
+            yield linked(pa.Table.from_batches(held))
+
+    schema = "bucket long, id long, " + ", ".join(f"{c} long" for c in names)
+    dealt = distinct.select("id", *names).mapInArrow(deal, schema).repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(search, "a long, b long").distinct()
+
+
+def similar_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """documents without the text, with component_id: the smallest doc_id that a document reaches over links.
+
+    Two texts are linked if their wide fingerprints differ in so few bits as texts whose shingles have that Jaccard
+    similarity do (one deviation more), and meet in a bucket, which at that similarity they do with a probability of 0.95 and the more often the
+    more alike they are; equal texts always are. A null or empty text, or one of white space, is linked with its likes.
+    component_id is null if none of a component has an id. Repeated rows stay; a column component_id is replaced;
+    an empty table gives an empty table.
+    """
+    names = [f"f{k}" for k in range(WIDE)]
+    rest = dropped(documents, "component_id", "__wide", "__wid", "__head", text)
+    src = rest.columns
+    df = documents.select(*(F.col(f"`{c}`") for c in src), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "__wide binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in blocks(whole, whole.num_columns - 1):
+                made = [np.array(wide_fingerprint(t, words), "<u8").tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.binary())], names=[*src, "__wide"])
+
+    fps = stored(df.mapInArrow(run, schema), "wide")
+    distinct = fps.groupBy(F.col("__wide").alias("w")).agg(F.min(F.col(f"`{doc_id}`")).alias("least"))
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(WIDE))], names=["id", *names])
+
+    wide = distinct.select("id", "w").mapInArrow(split, "id long, " + ", ".join(f"{c} long" for c in names))
+    joined = components(_similar_links(wide, similarity))
+    classes = distinct.join(joined, distinct["id"] == joined["node"], "left").select("w", F.coalesce("root", "id").alias("root"), "least")
+    heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(classes.select(F.col("w").alias("__wid"), F.col("root").alias("r")).join(heads, F.col("r") == F.col("root")).select("__wid", F.col("component_id").alias("__head")), "classes")
+    out = fps.join(named, F.col("__wide") == F.col("__wid"))
+    return out.select(*(F.col(f"`{c}`") for c in src), F.col("__head").alias("component_id"))
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, distance: int = DISTANCE) -> DataFrame:
     """documents without the text, with fingerprint (16 hex digits) and component_id.
 

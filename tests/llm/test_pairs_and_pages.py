@@ -94,6 +94,45 @@ def test_upper_nodes_prune_groups_and_links_are_skipped():
     assert linked.linked(frontier=100).tolist() == want.tolist() and linked.told["looked", -1] < every.told["looked", -1]
 
 
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for g in range(40):
+        base = rng.choice(vocabulary, int(rng.integers(60, 400))).tolist()
+        texts.append(base)
+        for change in (0.005, 0.01, 0.02, 0.2):
+            copy = list(base)
+            for i in rng.choice(len(copy), max(1, int(change * len(copy))), replace=False):
+                copy[i] = str(rng.choice(vocabulary))
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + [" ".join(texts[0]).upper()]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    share, most = simhash.differing(0.8)
+    wide = np.array([simhash.wide_fingerprint(t) for t in texts], np.uint64)
+    apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(2)
+    similar = {(i, j): jaccard(texts[i], texts[j]) for i, j in itertools.combinations(range(len(texts)), 2) if apart[i, j] < 100}
+    alike = [p for p, x in similar.items() if x >= 0.8]
+    assert len(alike) > 100 and sum(got[i] == got[j] for i, j in alike) >= 0.9 * len(alike)
+    # nothing is joined but over links that the fingerprints allow, and those are of similar texts
+    reach = simhash.join_roots(np.arange(len(texts)), *np.nonzero(apart <= most))
+    assert all(got[i] == got[j] <= i for i, j in alike if got[i] == got[j]) and all(reach[i] == reach[got[i]] for i in got)
+    assert min(similar[p] for p in similar if apart[p] <= most) > 0.65
+
+
+def test_similar_documents_of_odd_rows(spark, odd, none):
+    rows = simhash.similar_documents(odd.withColumn("component_id", F.lit("clash"))).collect()
+    assert len(rows) == len(ROWS) and set(rows[0].asDict()) == {"doc_id", "lang", "source", "n_chars", "component_id"}
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert (got[1], got[6], got[2], got[3], got[4], got[5], got[None]) == (1, 1, 2, 2, 2, 5, None)
+    assert simhash.similar_documents(none).count() == 0
+
+
 def test_columns_of_internal_names_stay(spark):
     df = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "a b c", 6, "y")], "doc_id long, text string, fp int, root string")
     got = simhash.near_duplicates(df).orderBy("doc_id").collect()

@@ -275,8 +275,12 @@ def read_ids(spark: SparkSession, folder: str, files: DataFrame, with_ids: bool
     """
     from pyspark.sql import Window
 
-    # one row for each file of many documents: its first id's number
-    before = files.filter("n_docs > 0").withColumn("base", F.sum("n_tokens").over(Window.orderBy("name")) - F.col("n_tokens")).select("name", "base")
+    # the number of a file's first id: ids of the ranges before its own (one row for each range), and of the files before it there
+    full = files.filter("n_docs > 0").withColumn("range", F.regexp_extract("name", r"^ids-(\d+)-", 1))
+    sums = full.groupBy("range").agg(F.sum("n_tokens").alias("whole"))
+    ranges = sums.select("range", (F.sum("whole").over(Window.orderBy("range")) - F.col("whole")).alias("earlier"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("range").orderBy("name")) - F.col("n_tokens")
+    before = full.withColumn("inside", inside).join(ranges, "range").select("name", (F.col("earlier") + F.col("inside")).alias("base"))
     schema = "name string, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,7 @@ def test_documents(clashing, piece_path, word_path):
     assert len(kept(line_dedup.dedup_lines(clashing), clashing)) == len(ROWS)
     assert len(kept(quality_rules.quality_rules(clashing), clashing)) == len(ROWS)
     assert len(kept(simhash.near_duplicates(clashing), clashing)) == len(ROWS)
+    assert len(kept(simhash.similar_documents(clashing), clashing)) == len(ROWS)
     assert len(kept(pieces.encode_pieces(clashing, piece_path), clashing)) == len(ROWS)
     assert len(kept(packing.token_lengths(clashing, piece_path), clashing)) == len(ROWS)
     assert len(kept(packing.pack(packing.token_lengths(clashing, piece_path)), clashing)) >= len(ROWS)
@@ -66,5 +67,7 @@ def test_stages(clashing, spark):
         assert docs.columns == clashing.columns and 0 < len(rows) <= n
         n = len(rows)
     assert pipeline.STAGES[-1][1](spark, docs, "").count() >= n
-    for name, stage in pipeline.STAGES:
+    similar = pipeline.one_of_each_similar_group(spark, clashing, "")
+    assert similar.columns == clashing.columns and len(kept(similar, clashing)) < len(ROWS)
+    for name, stage in [*pipeline.STAGES, ("", pipeline.one_of_each_similar_group)]:
         assert stage(spark, clashing.limit(0), "").count() == 0

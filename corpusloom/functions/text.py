@@ -64,16 +64,37 @@ def _series(f):
     return lambda s: s.map(lambda x: f("" if x is None else x))
 
 
+#: Java pattern of texts of ASCII and accented letters of Western Europe, which the JVM folds as Python does: none of them
+#: has a compatibility form, and of each the case folding is the lower case (that of the sharp s isn't, which is left out).
+WESTERN = r"\x00-\x7FÀ-Þà-ÿ"
+
+
+def _folded(c: str | Column, kept: str, native: Column, udf) -> Column:
+    """``native`` where a text has only the characters ``kept``; the others, and only they, go to the Arrow-batched function."""
+    s = F.coalesce(col(c).cast("string"), F.lit(""))
+    plain = s.rlike(rf"^[{kept}]*\z")
+    return F.when(plain, native).otherwise(udf(F.when(~plain, s)))
+
+
 @F.pandas_udf(T.StringType())
-def casefold(s: pd.Series) -> pd.Series:
+def _casefold(s: pd.Series) -> pd.Series:
     return _series(str.casefold)(s)
 
 
+def casefold(c: str | Column) -> Column:
+    return _folded(c, WESTERN, F.lower(F.coalesce(col(c).cast("string"), F.lit(""))), _casefold)
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
     return _series(lambda x: unicodedata.normalize("NFKC", x))(s)
 
 
+def nfkc(c: str | Column) -> Column:
+    """Compatibility form; null becomes the empty string."""
+    return _folded(c, f"{WESTERN}ß", F.coalesce(col(c).cast("string"), F.lit("")), _nfkc)
+
+
 def fold_plain(x: str) -> str:
     """Letters and digits of ASCII after compatibility decomposition, case folding and loss of accents; space between runs."""
     folded = unicodedata.normalize("NFKD", x.strip()).casefold()
@@ -82,16 +103,26 @@ def fold_plain(x: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def linking_text(s: pd.Series) -> pd.Series:
+def _linking_text(s: pd.Series) -> pd.Series:
     return _series(fold_plain)(s)
 
 
+def linking_text(c: str | Column) -> Column:
+    """fold_plain of a column."""
+    s = F.coalesce(col(c).cast("string"), F.lit(""))
+    return _folded(c, r"\x00-\x7F", F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), _linking_text)
+
+
 @F.pandas_udf(T.StringType())
-def phrase_text(s: pd.Series) -> pd.Series:
-    """Character references decoded, tags to spaces, compatibility form, case folded."""
+def _phrase_text(s: pd.Series) -> pd.Series:
     return _series(lambda x: unicodedata.normalize("NFKC", re.sub(r"<[^>]+>", " ", html.unescape(x))).casefold())(s)
 
 
+def phrase_text(c: str | Column) -> Column:
+    """Character references decoded, tags to spaces, compatibility form, case folded."""
+    return _folded(c, rf"{WESTERN}&&[^&<]", F.lower(F.coalesce(col(c).cast("string"), F.lit(""))), _phrase_text)
+
+
 def thesaurus_text(c: str | Column) -> Column:
     """Compatibility form, lower case, dashes, slashes and underscores to spaces, only a-z, 0-9 and single spaces left."""
     s = F.lower(nfkc(F.coalesce(col(c), F.lit(""))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_pattern, variant_pattern
+from .lineage import cut
 
 
 def hits(texts: DataFrame, key: str, fields: Sequence[str], dictionary: dict[str, Sequence[str]]) -> DataFrame:
@@ -46,6 +47,7 @@ def pair_table(found: DataFrame, key: str, labels: Sequence[str], diagonal: bool
 
     The list of pairs is that of the dictionary, not of data.
     """
+    found = cut(found.select(key, "label"))  # it is counted by label and by pair: a row for each hit, without the texts
     names = sorted(labels)
     rows = [(a, b) for i, a in enumerate(names) for b in names[i if diagonal else i + 1 :]]
     spine = found.sparkSession.createDataFrame(rows, "left string, right string")

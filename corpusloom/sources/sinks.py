@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..operators.lineage import cut
+from ..operators.sampling import batches
 from .tables import files
 
 
@@ -67,9 +68,9 @@ def bundle_digest(inputs: DataFrame, role: str = "role", sha: str = "sha256") ->
 
 def claims(results: DataFrame, name: str, order: Sequence[str], values: Sequence[str], bundle: str) -> DataFrame:
     """Lineage of result rows: claim_id, row_number (from 2, as a line of a file with a header), value, row and bundle digests."""
-    at = F.row_number().over(Window.orderBy(*order)) + 1
     value = F.coalesce(*(F.when(strip(v) != "", strip(v)) for v in values))
-    return results.withColumn("row_number", at).select(
+    numbered = batches(results, order).withColumn("row_number", (F.col("row_number") + 1).cast("int"))
+    return numbered.select(
         F.concat(F.lit(f"{name}:"), F.lpad(F.col("row_number").cast("string"), 6, "0")).alias("claim_id"), F.lit(name).alias("table"), "row_number",
         value.alias("reported_value"), joined_digest(results.columns).alias("row_sha256"), F.lit(bundle).alias("bundle_sha256"),
     )

@@ -100,3 +100,17 @@ def test_paired_records_over_a_million(spark):
     want = N.paired_bootstrap(np.repeat(np.arange(4), m.reshape(-1)), 2, 40, at_once=3)
     assert (r["n"], r["unit"], r["lower"], r["upper"]) == (int(m.sum()), "paired record", *want)
     assert want != N.multinomial_bootstrap(m, 40)
+
+
+def test_texts_that_the_jvm_folds_agree_with_python(spark):
+    import html
+    import re
+    import unicodedata
+
+    texts = ["", "Plain TEXT 12", "ÀÉÎÕÜ Það Ñandú ÿ Øre Æ", "Straße ẞ", "a &amp; <b>B</b> &lt;", "½ ﬁ ª µ × ÷ \u00a0x", "e\u0301 É", "İ ı K Å", "Ω ά ς", "日本 １２", None, "tab\tand\nline \x1f\x7f", "Ǆ ŉ ǰ", "end\u0085", "end\n", "\u2028"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", T.casefold("t").alias("c"), T.nfkc("t").alias("n"), T.linking_text("t").alias("l"), T.phrase_text("t").alias("p")).orderBy("i").collect()
+    for r, t in zip(got, texts):
+        t = t or ""
+        assert r["c"] == t.casefold() and r["n"] == unicodedata.normalize("NFKC", t) and r["l"] == T.fold_plain(t), t
+        assert r["p"] == unicodedata.normalize("NFKC", re.sub(r"<[^>]+>", " ", html.unescape(t))).casefold(), t

@@ -73,6 +73,21 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def keep_small() -> None:
+    """Lets a worker's allocator keep what arrays under 4 MB give back, up to 64 MB, for the next ones.
+
+    Arrays of about a megabyte are made and dropped in every step; by default each takes fresh pages from the machine.
+    """
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def hand_back() -> None:
     """Gives a worker's freed memory back to the machine, as workers live on after a task."""
     import ctypes

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hand_back, stored, table
+from .common import hand_back, keep_small, stored, table
 from .pieces import model
 from .wordstore import blocks
 
@@ -290,6 +290,7 @@ def score_ids(t: Trained, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def fit(t: Trained, texts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float, seed: int, passes: int = 1) -> tuple[int, Weights]:
     """Number of ids, and weights after training on all of them; texts: pieces of a partition, as ids and where texts end."""
+    keep_small()
     w = {k: x.copy() for k, x in t.weights.items()}
     adam, rng, seen = Adam(w), np.random.default_rng(seed), 0
     begin, group = len(t.classes.of_id), t.priors.group[t.classes.of_id].astype(np.int16)
@@ -533,6 +534,7 @@ def score_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pickle.loads(sent.value)
+        keep_small()
         for b in batches:
             for x, ends, rows in ids_of(b.column(len(kept)), kind, AT_ONCE):
                 sizes = np.diff(ends, prepend=0)

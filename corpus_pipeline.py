@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored, table
+from corpusloom.llm.common import drop_between, stored, stored_so_far, table
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack, token_lengths
 from corpusloom.llm.quality_rules import quality_rules
@@ -73,9 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; of what a stage has stored only its result is kept."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
+        before = stored_so_far(spark)
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, name)
+            drop_between(spark, before, stored_so_far(spark) - 1)
     return docs

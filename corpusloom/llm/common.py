@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
+#: Tables stored by each application, in their order.
+_STORED: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +46,24 @@ def local_path(uri: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Deletes what this application has stored below spark.checkpoint.dir. For the end of a job: results that were not written elsewhere go too."""
+    _STORED.pop(spark.sparkContext.applicationId, None)
     if root := _ROOTS.pop(spark.sparkContext.applicationId, None):
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored_so_far(spark: SparkSession) -> int:
+    return len(_STORED.get(spark.sparkContext.applicationId, []))
+
+
+def drop_between(spark: SparkSession, first: int, last: int) -> None:
+    """Deletes the tables that were stored from the ``first`` to before the ``last``; nothing may read them any more."""
+    for path in _STORED.get(spark.sparkContext.applicationId, [])[first:last]:
+        _delete(spark, path)
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -60,6 +77,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
+    _STORED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

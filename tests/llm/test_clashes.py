@@ -71,3 +71,16 @@ def test_stages(clashing, spark):
     assert similar.columns == clashing.columns and len(kept(similar, clashing)) < len(ROWS)
     for name, stage in [*pipeline.STAGES, ("", pipeline.one_of_each_similar_group)]:
         assert stage(spark, clashing.limit(0), "").count() == 0
+
+
+def test_the_pipeline_keeps_results_only(spark):
+    import os
+
+    from corpusloom.llm import common
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    root = common.local_path(common.shared_root(spark))
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    n = pipeline.run(spark, "/root/testdata/sf0.001").count()
+    tags = [f.rsplit("-", 1)[0] for f in set(os.listdir(root)) - before]
+    assert n > 0 and sorted(tags) == sorted([*(name for name, _ in pipeline.STAGES[:-1]), "lengths"])

@@ -81,7 +81,7 @@ def pack(sequences: DataFrame, buckets: int = 16, budget: int = 32768, longest:
     A sequence longer than ``longest`` is cut into chunks of that length and a rest, each a row with its place
     ``start``; lengths that are null or under 1 count as 1. bucket: from 0; padded: the bucket's boundary; batch: number
     in the bucket, of budget // padded rows each but the last; slot: place in the batch. Rows are numbered by a hash of ``order``, then ``order``
-    itself; nulls and repeated rows are rows like others. Columns of these names are replaced; an empty table gives
+    itself; nulls and repeated rows are rows like others, and where very many share one ``order`` they are numbered in parts. Columns of these names are replaced; an empty table gives
     an empty table. Only the histogram, of at most ``longest`` rows, comes to the driver.
     """
     if budget < longest:
@@ -90,7 +90,8 @@ def pack(sequences: DataFrame, buckets: int = 16, budget: int = 32768, longest:
     rest = dropped(sequences.withColumn("__n", n), "chunk", "start", "bucket", "padded", "batch", "slot", length)
     cut = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / longest).cast("long"))))
     cut = cut.withColumns({"start": F.col("chunk") * longest, length: F.least(F.lit(longest).cast("long"), F.col("__n") - F.col("chunk") * longest)}).drop("__n")
-    rows = stored(cut, "lengths")
+    names = cut.columns
+    rows = stored(cut.withColumn("__mix", F.monotonically_increasing_id()), "lengths")
     histogram = rows.groupBy(length).count().collect()
     ends = best_boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
     total = sum(r[1] for r in histogram)
@@ -98,14 +99,22 @@ def pack(sequences: DataFrame, buckets: int = 16, budget: int = 32768, longest:
     salts = max(64, -(-total // GROUP_ROWS))
     rows = rows.withColumn("bucket", F.size(F.filter(bound, lambda b: b < F.col(length)))).withColumn("padded", F.get(bound, F.col("bucket")))
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*order, "chunk"), F.lit(salts)))
-    sizes = rows.groupBy("bucket", "__salt").count()
-    before = F.sum("count").over(Window.partitionBy("bucket").orderBy("__salt")) - F.col("count")
-    offsets = sizes.select("bucket", "__salt", before.alias("__before"))
-    own = F.row_number().over(Window.partitionBy("bucket", "__salt").orderBy(*order, "chunk", length)) - 1
-    numbered = rows.withColumn("__own", own).join(offsets, ["bucket", "__salt"])
+    # rows that share what they are ordered by share a group; one that is too large is dealt out by the rows' places
+    hot = rows.groupBy("bucket", "__salt").count().filter(F.col("count") > 4 * GROUP_ROWS)
+    hot = hot.select(F.col("bucket").alias("__hb"), F.col("__salt").alias("__hs"), F.ceil(F.col("count") / GROUP_ROWS).alias("__parts"))
+    if hot.isEmpty():
+        rows = rows.withColumn("__sub", F.lit(0).cast("long"))
+    else:
+        joined = rows.join(hot, (F.col("bucket") == F.col("__hb")) & (F.col("__salt") == F.col("__hs")), "left")
+        rows = joined.withColumn("__sub", F.coalesce(F.pmod(F.xxhash64("__mix"), F.col("__parts")), F.lit(0).cast("long"))).drop("__hb", "__hs", "__parts")
+    sizes = rows.groupBy("bucket", "__salt", "__sub").count()
+    before = F.sum("count").over(Window.partitionBy("bucket").orderBy("__salt", "__sub")) - F.col("count")
+    offsets = sizes.select("bucket", "__salt", "__sub", before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("bucket", "__salt", "__sub").orderBy(*order, "chunk", length)) - 1
+    numbered = rows.withColumn("__own", own).join(offsets, ["bucket", "__salt", "__sub"])
     place, capacity = F.col("__before") + F.col("__own"), F.floor(F.lit(budget) / F.col("padded")).cast("long")
     out = numbered.withColumn("__at", place).withColumns({"batch": F.floor(F.col("__at") / capacity).cast("long"), "slot": F.pmod("__at", capacity).cast("long")})
-    return out.select(*(f"`{c}`" for c in cut.columns), "bucket", "padded", "batch", "slot")
+    return out.select(*(f"`{c}`" for c in names), "bucket", "padded", "batch", "slot")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:

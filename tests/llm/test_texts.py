@@ -276,6 +276,21 @@ def test_packing(spark, odd, none, piece_path):
     assert packing.pack(packing.token_lengths(none.select("doc_id", "text"), piece_path)).count() == 0
 
 
+@pytest.mark.parametrize("group", [4096, 20])  # 20: rows of one id, and of none, are numbered in parts
+def test_packing_of_one_id(spark, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP_ROWS", group)
+    ids = [None] * 300 + [7] * 300 + list(range(100, 200))
+    lengths = [(i, 1 + k % 90) for k, i in enumerate(ids)] + [(1, None), (2, 0), (3, -5)]
+    got = packing.pack(spark.createDataFrame(lengths, "doc_id long, n_tokens long").repartition(5), buckets=4, budget=256, longest=128).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(i), max(1, n or 1)) for i, n in lengths)
+    places = collections.Counter((r["bucket"], r["batch"], r["slot"]) for r in got)
+    assert set(places.values()) == {1}
+    for b in {r["bucket"] for r in got}:
+        of = [r for r in got if r["bucket"] == b]
+        each = 256 // of[0]["padded"]
+        assert sorted(r["batch"] * each + r["slot"] for r in of) == list(range(len(of)))
+
+
 # -- op3 -----------------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ ids come from one pool by a ragged gather.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,26 @@ class WordStore:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
     def _places(self, words: list[str]) -> np.ndarray:
-        get = self.slots.get
-        found = [get(w, -1) for w in words]
-        new = [w for w, s in zip(words, found) if s < 0]
-        if not new:
-            return np.array(found, np.int64)
+        found = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(found < 0)
+        if not len(lacking):
+            return found
+        new = words if len(lacking) == len(words) else [words[i] for i in lacking.tolist()]
         if len(self.slots) + len(new) > self.most and self.slots:
             self.clear()
-            new, found = words, [-1] * len(words)
+            new, lacking = words, np.arange(len(words))
         at, ids = len(self.slots), self.encode_new(new)
         sizes = np.fromiter(map(len, ids), np.int32, len(new))
+        many = int(sizes.sum())
         self.starts, self.sizes = self._grown(self.starts, at + len(new)), self._grown(self.sizes, at + len(new))
-        self.pool = self._grown(self.pool, self.used + int(sizes.sum()))
+        self.pool = self._grown(self.pool, self.used + many)
         ends = self.used + np.cumsum(sizes, dtype=np.int64)
         self.starts[at : at + len(new)], self.sizes[at : at + len(new)] = ends - sizes, sizes
-        self.pool[self.used : self.used + int(sizes.sum())] = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        self.used += int(sizes.sum())
+        self.pool[self.used : self.used + many] = np.fromiter(chain.from_iterable(ids), np.uint32, many)
+        self.used += many
         self.slots.update(zip(new, range(at, at + len(new))))
-        out = np.array(found, np.int64)
-        out[out < 0] = np.arange(at, at + len(new))
-        return out
+        found[lacking] = np.arange(at, at + len(new))
+        return found
 
     def _coded(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each word its place and size in the pool; for each text its words' first and last place."""

@@ -285,6 +285,23 @@ def test_near_documents_of_any_length(spark, tmp_path):
     assert {r["node"]: r["component"] for r in queries()["components_all"](spark, str(tmp_path)).collect()} == {x: min(p) for p in want for x in p}
 
 
+def test_alike_titles_in_blocks(spark, monkeypatch):
+    import random
+
+    from corpusloom.functions.text import TITLE_STOPWORDS, gestalt
+
+    monkeypatch.setattr(L, "TITLES", 10)
+    rng = random.Random(2)
+    words = "chat model surgery training language student nurse the of on skill 42".split()
+    base = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(6)]
+    titles = {b if k == 0 else b.replace(rng.choice("aeiou"), rng.choice("xyz"), 1) for b in base for k in range(5)} | {"a", "nurse of chat surgery", "surgery chat nurse on the of"}
+    sets = {t: {w for w in t.split() if len(w) > 1 and w not in TITLE_STOPWORDS} for t in titles}
+    alike = lambda t, u: max(gestalt(t, u), gestalt(u, t), len(sets[t] & sets[u]) / max(1, len(sets[t] | sets[u]))) >= 0.84
+    want = {(t, u) for t, u in itertools.combinations(sorted(titles), 2) if alike(t, u)}
+    got = L._alike_titles(spark.createDataFrame([("x", t) for t in titles], "author string, title string"), 0.84)
+    assert {(r["t"], r["u"]) for r in got.collect()} == want and ("nurse of chat surgery", "surgery chat nurse on the of") in want
+
+
 def test_version_candidates_of_titles_that_occur_once(spark, tmp_path):
     import difflib
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import hand_back, keep_small, stored, table
 from .pieces import model
-from .wordstore import blocks
+from .wordstore import blocks, gathered
 
 STRIDE = 8
 WIDTH = 2 * STRIDE
@@ -41,8 +41,8 @@ DIMS = 12
 CLASSES, SINGLE, GROUPS = 1024, 960, 64
 #: Classes that an id counts as when it stands before another, and those of them that hold one id; a text's begin is one more.
 BEFORE, BEFORE_SINGLE = 256, 200
-#: Words that make up at least one in SHIPPED of all tokens go to every task: so many at most. Words of more than LONG bytes are counted by their digest.
-SHIPPED, LONG = 1 << 20, 64
+#: The most frequent words, so many at most, go to every task. Words of more than LONG bytes are counted by their digest.
+SHIPPED, LONG = 1 << 18, 64
 #: Rounds of training and the share of texts of the first, in eighths; steps' rates at their begin.
 FIRST_EIGHTHS, RATES = 1, (0.02, 0.01)
 #: Ids that are mixed and trained on at once, and ids after which a copy's rate has fallen to a quarter.
@@ -184,12 +184,31 @@ def _attend(w: Weights, place: np.ndarray, known: np.ndarray, opens: np.ndarray)
     return own, q, k, v, s, s @ v
 
 
-def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that brings equal ids together, where each run begins, and the different ids."""
-    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
-    run = ids[order]
-    heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    return order, heads, run[heads]
+def _own_places(t: np.ndarray) -> np.ndarray:
+    """Sums for each place over the window that it is its own in and the next one, whose context it is."""
+    out = t[:, STRIDE:].copy()
+    out[:-1] += t[1:, :STRIDE]
+    return out.reshape(-1, t.shape[2])
+
+
+def _different(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, and the place of each id among them; ids are below ``size``."""
+    met = np.zeros(size, bool)
+    met[ids] = True
+    names = np.flatnonzero(met)
+    at = np.empty(size, np.int64)
+    at[names] = np.arange(len(names))
+    return names, at[ids]
+
+
+def _exponents(w: Weights, h: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of all groups; where they can be over HIGHEST they are cut there."""
+    z = np.take(prior, rows, axis=0)
+    z += h @ w["U"]
+    # no score is over this bound, so that in nearly all steps no pass over them is needed
+    if not np.abs(h).max(initial=0) * np.abs(w["U"]).sum(0).max() + prior.max(initial=0) <= HIGHEST:
+        np.minimum(z, HIGHEST, out=z)
+    return z
 
 
 def gradients(w: Weights, prior: np.ndarray, of_before: np.ndarray, before: np.ndarray, goal: np.ndarray, opens: np.ndarray) -> tuple[float, Weights, tuple[np.ndarray, np.ndarray]]:
@@ -199,46 +218,45 @@ def gradients(w: Weights, prior: np.ndarray, of_before: np.ndarray, before: np.n
     """
     d, n = DIMS, len(before)
     ids = before.reshape(-1)
-    order, heads, names = _places(ids)
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(ids))))
-    x = w["E"][names]
-    own, q, k, v, s, m = _attend(w, place, _table(x, w), opens)
+    names, place = _different(ids, len(w["E"]))
+    own, q, k, v, s, m = _attend(w, place, _table(w["E"][names], w), opens)
     part = 1 / m[:, :, d:]
     m = m[:, :, :d] * part
     s *= part
-    h = (m + own[:, :, :d]).reshape(-1, d)
-    z = h @ w["U"]
-    z += np.take(prior, of_before[ids], axis=0)
-    np.minimum(z, HIGHEST, out=z)
-    np.exp(z, out=z)
+    # groups are scored at the places that have one
     want = goal.reshape(-1)
-    ok = (want >= 0).astype(np.float32)
-    share = ok / max(np.float32(1), ok.sum())
-    scale = share / (z.sum(1) if z.dtype == np.float64 else z @ np.ones(z.shape[1], np.float32))
-    flat, at = z.reshape(-1), np.arange(len(want)) * z.shape[1] + np.maximum(want, 0)
-    p = flat[at] * scale
-    loss = -float((np.log(p[ok > 0] / share[ok > 0] + 1e-30)).sum()) * float(share.max())
-    z *= scale[:, None]
-    flat[at] -= share
-    g = {"U": h.T @ z}
-    dm = (z @ w["U"].T).reshape(n, STRIDE, d)
+    ok = np.flatnonzero(want >= 0)
+    want = want[ok]
+    h = np.take((m + own[:, :, :d]).reshape(-1, d), ok, axis=0)
+    z = _exponents(w, h, prior, of_before[ids[ok]])
+    np.exp(z, out=z)
+    share = 1 / max(1, len(ok))
+    # sums of exponents, and their sums of U's columns, in one product
+    sums = z @ np.concatenate([w["U"].T, np.ones((z.shape[1], 1), z.dtype)], 1)
+    total = sums[:, d]
+    flat, at = z.reshape(-1), np.arange(len(want)) * z.shape[1] + want
+    loss = -float(np.log(flat[at] / total + 1e-30).sum()) * share
+    scale = share / total[:, None]
+    flat[at] -= total
+    g = {"U": (h * scale).T @ z}
+    dm = np.zeros((n * STRIDE, d), z.dtype)
+    dm[ok] = sums[:, :d] * scale - np.take(w["U"].T * share, want, axis=0)
+    dm = dm.reshape(n, STRIDE, d)
     da = dm @ v[:, :, :d].transpose(0, 2, 1)
     da -= np.einsum("nij,nij->ni", dm, m)[:, :, None]
     da *= s
     g["R"] = np.bincount(APART.ravel(), (da.sum(0) * SEEN).ravel(), WIDTH).astype(da.dtype)
-    back = np.empty((n, STRIDE, 4 * d), da.dtype)
-    back[:, :, :d] = dm
-    np.matmul(da, k, out=back[:, :, d : 2 * d])
-    for i, t in ((2, da.transpose(0, 2, 1) @ q), (3, s.transpose(0, 2, 1) @ dm)):
-        part = back[:, :, i * d : (i + 1) * d]
-        part[...] = t[:, STRIDE:]
-        part[:-1] += t[1:, :STRIDE]
-    # what follows is linear in the rows of one id, which are summed first
-    sums = np.add.reduceat(back.reshape(-1, 4 * d)[order], heads, axis=0)
-    sums[:, d : 2 * d] *= np.float32(1 / math.sqrt(d))
-    g["A"] = x.T @ sums[:, d:]
-    return loss, g, (names, sums[:, :d] + sums[:, d:] @ w["A"].T)
+    dq = (da @ k).reshape(-1, d)
+    dk, dv = (_own_places(t) for t in (da.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dm))
+    x = own.reshape(n * STRIDE, -1)[:, :d].T
+    g["A"] = np.concatenate([x @ dq / np.sqrt(np.float32(d)), x @ dk, x @ dv], 1)
+    back = [y @ a.T for y, a in zip((dq, dk, dv), np.split(w["A"], 3, axis=1))]
+    back[0] /= np.sqrt(np.float32(d))
+    row = dm.reshape(-1, d)
+    for y in back:
+        row += y
+    # rows of one id are summed last, when they are narrow
+    return loss, g, (names, np.stack([np.bincount(place, y, len(names)) for y in row.T], 1).astype(row.dtype))
 
 
 class Adam:
@@ -250,10 +268,21 @@ class Adam:
 
     def step(self, g: Weights, rows: np.ndarray, row_g: np.ndarray, rate: float) -> None:
         self.t += 1
-        for k, at, x in [*((k, slice(None), x) for k, x in g.items()), ("E", rows, row_g)]:
-            m, v = 0.9 * self.m[k][at] + 0.1 * x, 0.999 * self.v[k][at] + 0.001 * x * x
-            self.m[k][at], self.v[k][at] = m, v
-            self.w[k][at] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+        for k, at, x in [*((k, None, x) for k, x in g.items()), ("E", rows, row_g)]:
+            m, v = (a[k] if at is None else np.take(a[k], at, axis=0) for a in (self.m, self.v))
+            m *= 0.9
+            m += 0.1 * x
+            v *= 0.999
+            v += 0.001 * x * x
+            by = np.sqrt(v / (1 - 0.999**self.t))
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= rate / (1 - 0.9**self.t)
+            if at is None:
+                self.w[k] -= by
+            else:
+                self.m[k][at], self.v[k][at] = m, v
+                self.w[k][at] -= by
 
 
 class Trained(NamedTuple):
@@ -277,9 +306,7 @@ def score_ids(t: Trained, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         own, _, _, _, _, m = _attend(w, place, known, opens[at - lead : at + SCORED])
         h = m[lead:, :, :DIMS] / m[lead:, :, DIMS:]
         h += own[lead:, :, :DIMS]
-        z = h.reshape(-1, DIMS) @ w["U"]
-        z += np.take(t.priors.groups, of_before[place[lead * STRIDE :]], axis=0)
-        np.minimum(z, HIGHEST, out=z)
+        z = _exponents(w, h.reshape(-1, DIMS), t.priors.groups, of_before[place[lead * STRIDE :]])
         n = len(z)
         won = z.reshape(-1)[np.arange(n) * GROUPS + goal[at * STRIDE : at * STRIDE + n]].astype(np.float64)
         np.exp(z, out=z)
@@ -373,25 +400,74 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
+def frequent_words(counts: DataFrame, shipped: int) -> tuple[int, int, DataFrame]:
+    """Number of tokens and of words, and the most frequent words, as many as are at most ``shipped`` without parting equal counts.
+
+    Any other word makes up less than one in ``shipped`` of the tokens.
+    """
+    kinds = counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).toArrow()
+    c, k = kinds["c"].to_numpy(), kinds["k"].to_numpy()
+    sent = int(np.searchsorted(np.cumsum(k), shipped, "right"))
+    least = int(c[sent - 1]) if sent else int(c.max(initial=0)) + 1
+    return int((c * k).sum()), int(k.sum()), counts.filter(F.col("c") >= least)
+
+
+def listed_places(words: pa.Array, listed: pa.Array) -> np.ndarray:
+    """Place of each word in a list, or -1; both hold a word once. The shorter of both is hashed."""
+    if len(listed) <= len(words):
+        return pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy(zero_copy_only=False)
+    place = pc.fill_null(pc.index_in(listed, value_set=words), -1).to_numpy(zero_copy_only=False)
+    out, met = np.full(len(words), -1, np.int32), np.flatnonzero(place >= 0)
+    out[place[met]] = met
+    return out
+
+
 def id_kind(ids: int) -> str:
     return "<u2" if ids <= 1 << 16 else "<u4"
 
 
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Parts of an array, which end at ``ends``, as binary values."""
+    cuts = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def listing(often: DataFrame, model_path: str) -> pa.Table:
+    """Rows (w, log, ids) of frequent words: log10(count + 0.1), and the word's ids, none where w is a digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(model_path)
+        kind = id_kind(len(m.widths))
+        for b in batches:
+            spelt = [w for w in b.column(0).to_numpy(zero_copy_only=False).tolist() if not w.startswith(" ")]
+            ids, ends, sizes = m.bare.encode_coded(spelt, np.arange(len(spelt)))
+            every = np.zeros(b.num_rows, np.int64)
+            every[pc.invert(pc.starts_with(b.column(0), " ")).to_numpy(zero_copy_only=False)] = sizes
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.log10(pc.add(pc.cast(b.column(1), pa.float64()), 0.1)), binaries(ids.astype(kind), np.cumsum(every))], names=["w", "log", "ids"])
+            m.bare.clear()
+        hand_back()
+
+    return often.select("w", "c").mapInArrow(run, "w string, log double, ids binary").toArrow().combine_chunks()
+
+
 def encoded(docs: DataFrame, often: pa.Table, model_path: str) -> DataFrame:
-    """One row for each text, with its ids, and rows (row, held_out, w) for its words that aren't among those shipped.
+    """One row for each text, with its ids, and rows (row, held_out, w) for its words that aren't listed in ``often``.
 
     known and base are of the words that are: how many, and the sum of log10(count + 0.1).
     """
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(often))
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m, listing, next_row = model(model_path), pickle.loads(sent.value), TaskContext.get().partitionId() << 40
-        listed = listing["w"].combine_chunks() if listing.num_rows else pa.array([], pa.string())
-        logs = np.log10(np.append(listing["c"].to_numpy().astype(np.float64), 1.0) + 0.1)
-        close = pc.index_in(pa.array([""]), value_set=listed)[0].as_py()
+        m, next_row = model(model_path), TaskContext.get().partitionId() << 40
+        listed, logs, listed_ids = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in sent.value.columns)
+        logs = np.append(logs.to_numpy(), 0.0)
+        close = pc.index(listed, "").as_py()
         kind = id_kind(len(m.widths))
+        pool = np.concatenate([np.zeros(0, kind), *(x for x, _, _ in ids_of(listed_ids, kind, 1 << 62))]).astype(np.uint32)
+        sizes = pc.binary_length(listed_ids).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+        starts = np.cumsum(sizes) - sizes
         for whole in batches:
             for b in blocks(whole, 1, ENCODED_BYTES):
                 n = b.num_rows
@@ -400,19 +476,25 @@ def encoded(docs: DataFrame, often: pa.Table, model_path: str) -> DataFrame:
                 coded = lists.values.dictionary_encode()
                 codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
                 known = keyed(names)
-                spot = pc.fill_null(pc.index_in(known, value_set=listed), -1).to_numpy(zero_copy_only=False)
-                ids, stops, _ = m.bare.encode_coded(names.to_pylist(), codes)
-                stops = np.concatenate([[0], stops])[offsets]
+                spot = listed_places(known, listed)
+                # ids of words that are listed are there, others' come from the store
+                begin, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+                there = np.flatnonzero(spot >= 0)
+                begin[there], size[there] = starts[spot[there]], sizes[spot[there]]
+                new = np.flatnonzero(size == 0)
+                more, ends, size[new] = m.bare.encode_coded(names.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist(), np.arange(len(new)))
+                begin[new] = len(pool) + ends - size[new]
+                ids, stops = gathered(np.concatenate([pool, more]), begin[codes], size[codes])
+                stops = stops[offsets]
                 # the end of a text is a word like others, at the place of the empty word
-                at = np.insert(spot[codes], offsets[1:], -1 if close is None else close)
+                at = np.insert(spot[codes], offsets[1:], close)
                 words = np.diff(offsets) + 1
                 last = np.cumsum(words)
                 each = lambda x: np.add.reduceat(x, last - words)
                 row, held = next_row + np.arange(n), np.array([held_out(d) for d in b.column(0).to_pylist()], bool)
                 next_row += n
                 ended = np.insert(ids, stops[1:], m.end).astype(kind)
-                cuts = (stops + np.arange(n + 1)) * ended.itemsize
-                binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(ended.tobytes())])
+                binary = binaries(ended, (stops + np.arange(n + 1))[1:])
                 none = lambda k, kind: pa.nulls(k, kind)
                 yield pa.RecordBatch.from_pydict({"row": row, "doc_id": b.column(0), "held_out": pa.array(held), "n_tokens": words, "known": each((at >= 0).astype(np.int64)), "base": each(np.where(at >= 0, logs[at], 0.0)), "ids": binary, "w": none(n, pa.string())})
                 rare = np.flatnonzero(at < 0)
@@ -517,15 +599,14 @@ def score_documents(documents: DataFrame, model_path: str, doc_id: str = "doc_id
     subword ids, with the end. Texts that differ in white space, the case of A-Z or a word mark (U+2581) alone have the same
     ids. A null or empty text is its end alone; a null id counts as held out. Rows that share an id are scored
     apart. Other columns are passed over. An empty table gives an empty table; without training documents the model is
-    its random start. Words that make up less than one in ``shipped`` of the training tokens are counted by a window
-    over their places, in which by that bound none is frequent.
+    its random start. All but the ``shipped`` most frequent words are counted by a window over their places, in which
+    none makes up one in ``shipped`` of the training tokens.
     """
     spark = documents.sparkSession
     docs = _docs(documents, doc_id, text)
     counts = stored(word_counts(docs), "wordcounts")
-    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    often = counts.filter(F.col("c") * shipped >= n)
-    made = stored(encoded(docs, often.toArrow().combine_chunks(), model_path), "encoded")
+    n, v, often = frequent_words(counts, shipped)
+    made = stored(encoded(docs, listing(often, model_path), model_path), "encoded")
     texts = made.filter("w is null").drop("w")
     ids = len(model(model_path).widths)
     kind = id_kind(ids)

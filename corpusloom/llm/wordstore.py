@@ -19,6 +19,14 @@ KEPT_WORDS = 600_000
 BLOCK_BYTES = 12 << 20
 
 
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of a pool one after another, and where they begin and the last one ends."""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = np.repeat(starts - ends[:-1], sizes)
+    at += np.arange(ends[-1])
+    return pool[at], ends
+
+
 class WordStore:
     """encode_new: ids of a list of words, each a list of integers."""
 
@@ -84,10 +92,7 @@ class WordStore:
         return ids, ends[1:], sizes
 
     def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        at = np.repeat(starts - ends[:-1], sizes)
-        at += np.arange(ends[-1])
-        return self.pool[at], ends
+        return gathered(self.pool, starts, sizes)
 
     def counts(self, lists: pa.ListArray) -> np.ndarray:
         """Number of ids of each text."""

@@ -422,3 +422,30 @@ def test_scores(spark, odd, none, piece_path, shipped):
 def test_both_ways_of_counting_give_one_score(spark, odd, piece_path):
     a, b = (sorted((str(r["doc_id"]), round(r["score"], 6)) for r in lm.score_documents(odd, piece_path, shipped=s).collect()) for s in (1 << 20, 3))
     assert a == b
+
+
+def test_as_many_words_are_shipped_as_may_be(spark):
+    counts = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([9000, 500, 2, 2, 1, 1, 1])], "w string, c long")
+    for shipped, words in ((0, 0), (1, 1), (3, 2), (4, 4), (6, 4), (7, 7), (1 << 20, 7)):
+        n, v, often = lm.frequent_words(counts, shipped)
+        assert (n, v, often.count()) == (9507, 7, words)
+        assert all(r["c"] * shipped < n for r in counts.subtract(often).collect())
+    assert lm.frequent_words(counts.limit(0), 5)[:2] == (0, 0)
+
+
+@given(st.lists(st.text("abc", max_size=3), unique=True), st.lists(st.text("abc", max_size=3), unique=True))
+def test_places_of_listed_words(words, listed):
+    got = lm.listed_places(pa.array(words, pa.string()), pa.array(listed, pa.string()))
+    assert got.tolist() == [listed.index(w) if w in listed else -1 for w in words]
+
+
+def test_gradients_of_high_scores_and_of_none():
+    w = lm.new_weights(30, 3)
+    w["U"] *= 1e5  # scores over HIGHEST are cut there
+    prior, of_before = np.full((8, lm.GROUPS), -np.log(lm.GROUPS), np.float32), np.zeros(31, np.int32)
+    before, opens = np.arange(3 * lm.STRIDE).reshape(3, -1) % 31, np.array([True, False, True])
+    goal = np.zeros((3, lm.STRIDE), np.int16)
+    loss, g, (rows, row_g) = lm.gradients(w, prior, of_before, before, goal, opens)
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in (*g.values(), row_g)) and rows.tolist() == np.unique(before).tolist()
+    loss, g, (_, row_g) = lm.gradients(w, prior, of_before, before, goal - 1, opens)
+    assert loss == 0 and not any(x.any() for x in (*g.values(), row_g))

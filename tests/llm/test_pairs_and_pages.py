@@ -239,6 +239,22 @@ def test_sweep_against_brute_force(urls):
     assert got["rule"] == [r and r.text for r in (slow_rule(u, rules) for u in urls)]
 
 
+def test_verdicts_of_the_contracts_rules(spark, tmp_path):
+    want = {
+        "http://a.com/en/": ("com/en/", "block"),
+        "http://a.example.com/en/70": ("example.com/en/7", "allow"),
+        "http://example.com/en/6": ("com/en/", "block"),
+        "http://a.example.net/de/7": ("net/de/", "allow"),
+        "http://a.net/de/8": ("net/de/", "allow"),
+        "http://a.example.net/de/8": ("example.net/de/8", "block"),
+        "http://a.org/es/1": ("org/es/", "block"),
+        "http://a.org/en/1": (None, "allow"),
+    }
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = url_rules.op10_url_filters(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == list(want.values())
+
+
 @pytest.mark.parametrize("shipped", [1 << 20, 1])
 def test_url_filters(spark, shipped):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS + URLS)], "page_id long, url string, verdict string")

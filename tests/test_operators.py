@@ -336,6 +336,80 @@ def test_alike_titles_in_blocks(spark, monkeypatch):
     assert {(r["t"], r["u"]) for r in got.collect()} == want and ("nurse of chat surgery", "surgery chat nurse on the of") in want
 
 
+def test_gestalt_of_many_pairs():
+    import random
+
+    from corpusloom.functions.text import gestalt, gestalts
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abé😀 ") for _ in range(rng.randrange(n)))
+    pairs = [(text(30), text(30)) for _ in range(800)] + [(None, "a"), ("", ""), ("a", ""), ("ab" * 200, "ba" * 210), ("x" * 300, "x" * 299)]
+    assert gestalts(*zip(*pairs)).tolist() == [gestalt(x, y) for x, y in pairs] and gestalts([], []).tolist() == []
+
+
+def test_common_subsequences_of_titles():
+    import random
+
+    def length(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = list(itertools.accumulate(range(1, len(y) + 1), lambda best, j: max(best, row[j], row[j - 1] + (a == y[j - 1])), initial=0))
+        return row[-1]
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("ab z9") for _ in range(rng.randrange(1, n))) for n in (10, 70, 150) for _ in range(20)] + ["a" * n for n in (63, 64, 65, 128)]
+    x, y = (np.array(v) for v in zip(*itertools.product(range(40, 64), range(0, 64, 3))))
+    assert L._Titles(names).common(x, y).tolist() == [length(names[a], names[b]) for a, b in zip(x, y)]
+
+
+def test_few_titles_need_their_gestalt(monkeypatch):
+    """Titles of the same syllables have characters and neighbours in common; they are alike only if these keep their order."""
+    import random
+
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice(["er", "th", "on", "an", "in", " ", "the ", "en", "st"]) for _ in range(28))[:59].strip() for _ in range(400)})
+    names += [n[:30] + "x" + n[30:] for n in names[:20]]
+    compared, real = [], L.gestalts
+    monkeypatch.setattr(L, "gestalts", lambda x, y: compared.extend(zip(x, y)) or real(x, y))
+    n = len(names)
+    block = {"author": ["x"] * n, "title": names, "chief": ["x"] * n, "part": pa.array([0] * n, pa.int32()), "i": pa.array([0] * n, pa.int32()), "j": pa.array([0] * n, pa.int32())}
+    got = L._alike_in_block(pa.table(block), 0.84)
+    assert {(min(a, b), max(a, b)) for a, b in zip(names, names[n - 20 :])} <= set(zip(got["t"].to_pylist(), got["u"].to_pylist())) and len(compared) < 200
+    # whom both titles have beside x, and who has more, compares them
+    assert L._alike_in_block(pa.table(block | {"chief": ["y"] * n}), 0.84).num_rows == 0
+
+
+@pytest.mark.parametrize("copies, titles", [(512, 4096), (2, 5)])
+def test_version_pairs_against_brute_force(spark, monkeypatch, copies, titles):
+    import random
+
+    from corpusloom.functions.text import TITLE_STOPWORDS, gestalt
+
+    monkeypatch.setattr(L, "COPIES", copies)
+    monkeypatch.setattr(L, "TITLES", titles)
+    rng = random.Random(6)
+    base = ["chat models in surgery training", "nurse students and language skills", "surgery of the nurse", "a", ""]
+    names = base + ["chat model in surgery training", "training chat models surgery", "nurse student and language skill", "language skills nurse students", "nurse of surgery", "chat models in surgery training " + "and long words " * 8]
+    rows = [(i, rng.choice(names), rng.sample(["Ann Ash", "Bo Birch", "Cy Cedar"], rng.randrange(4)), rng.choice([None, 2010, 2012, 2014, 2018])) for i in range(120)]
+    flags = [(3, 1), (1, 3), (5, 5), (7, 90)] + [(rng.randrange(120), rng.randrange(120)) for _ in range(600)]
+    named = {(min(p), max(p)) for p in flags if p[0] != p[1]}
+    words = lambda t: {w for w in t.split(" ") if len(w) > 1 and w not in TITLE_STOPWORDS}
+    want = set()
+    for (l, t, some, x), (r, u, others, y) in itertools.combinations(rows, 2):
+        shared = sorted({a.split()[1].lower() for a in some} & {a.split()[1].lower() for a in others})
+        gap = None if x is None or y is None else abs(x - y)
+        either = words(t) | words(u)
+        like = 1.0 if t == u != "" else 0.0 if not t or not u else max(gestalt(t.strip(), u.strip()), len(words(t) & words(u)) / len(either) if either else 0.0)
+        same = t == u != "" and shared and (gap is None or gap <= 5)
+        alike = not same and like >= 0.84 and shared and gap is not None and gap <= 5
+        reasons = ["reviewer_flag"] * ((l, r) in named) + ["same_title_and_author"] * bool(same) + ["similar_title_author_and_year"] * bool(alike)
+        if reasons:
+            want.add((l, r, round(like, 9), ";".join(shared), gap, ";".join(reasons)))
+    df = spark.createDataFrame([(i, t, ";".join(a), y and str(y)) for i, t, a, y in rows], "paper_id long, title string, authors string, year string")
+    got = [(r["left"], r["right"], round(r["similarity"], 9), ";".join(r["shared_authors"]), r["year_gap"], ";".join(r["reasons"])) for r in L.version_pairs(df, spark.createDataFrame(flags, "a long, b long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({r[-1] for r in want}) == 5
+
+
 def test_version_candidates_of_titles_that_occur_once(spark, tmp_path):
     import difflib
 
